@@ -14,9 +14,9 @@ one once, and their ids are concatenated.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.llm._shared import map_arrow
+
 #: Distinct fragments that a worker remembers before it starts anew.
 REMEMBERED = 500_000
-#: Bytes of text whose fragments are held at once.
-AT_ONCE = 1 << 20
+#: Bytes of text whose fragments are worked on at once.
+AT_ONCE = 1 << 21
 
 LETTERS = [b for b in range(128) if chr(b).isalpha()]
 #: ASCII punctuation without the apostrophe, which starts contractions.
@@ -55,6 +57,8 @@ class ForcedBoundaryBPE:
             parts = json.load(f)
         of_char = byte_of_char()
         self.added = {x["content"]: x["id"] for x in parts["added_tokens"]}
+        self._added_bytes = [x.encode() for x in self.added]
+        self._joined = not any(" " in x for x in self.added)
         self.plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in parts["added_tokens"])
         size = max([*parts["model"]["vocab"].values(), *self.added.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
@@ -74,65 +78,123 @@ class ForcedBoundaryBPE:
         mixed = np.ix_(LETTERS, MARKS)
         cut[mixed] = self.forced[mixed]
         self._cut = cut.reshape(-1)
-        self._ids: dict[bytes, bytes] = {}
-
-    def fragments(self, data: bytes) -> list[bytes]:
-        if len(data) < 2:
-            return [data] if data else []
-        a = np.frombuffer(data, np.uint8)
+        self._bytes = np.array([len(b) for b in self.bytes_of])
+        rng = np.random.default_rng(7)
+        self._code = rng.integers(0, 1 << 63, 256, np.uint64)
+        base, self._power, self._inverse = int(rng.integers(0, 1 << 62)) * 2 + 1, None, None
+        self._powers = base, pow(base, -1, 1 << 64)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Place of each fragment that was encoded in _from and _n, which say where its ids are in _pool.
+        self._known: dict[bytes, int] = {}
+        self._from, self._n, self._pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def fragments(self, a: np.ndarray, also: np.ndarray = ()) -> np.ndarray:
+        """Where the fragments of a text (its bytes, not empty) begin: at the certain cuts, and at further places."""
         pairs = a[:-1].astype(np.uint16) << 8
         pairs |= a[1:]
-        at = (np.flatnonzero(self._cut[pairs]) + 1).tolist()
-        return [data[i:j] for i, j in zip([0, *at], [*at, len(data)], strict=True)]
-
-    def _parts(self, data: bytes) -> Iterator[bytes | int]:
-        """The text between added tokens, and their ids."""
-        import re
-
-        found = [x for x in self.added if x.encode() in data]
-        if not found:
-            yield data
-            return
-        at = 0
-        for m in re.finditer(b"|".join(re.escape(x.encode()) for x in sorted(found, key=len, reverse=True)), data):
-            yield data[at : m.start()]
-            yield self.added[m[0].decode()]
-            at = m.end()
-        yield data[at:]
+        begins = np.ones(len(a), bool)
+        begins[1:] = self._cut[pairs] if self.plain else False
+        begins[also] = True
+        return np.flatnonzero(begins)
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """For each UTF-8 text (None: empty) its ids as little-endian unsigned 32-bit integers."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         n = 0
         for text in texts:
-            pieces: list[bytes] = []
-            for part in self._parts(text or b""):
-                if isinstance(part, int):
-                    own = b"\xff" + part.to_bytes(4, "little")  # not UTF-8, so no fragment of a text
-                    self._ids[own] = own[1:]
-                    pieces.append(own)
-                elif self.plain:
-                    pieces += self.fragments(part)
-                elif part:
-                    pieces.append(part)
-            held.append(pieces)
-            n += len(text or b"")
+            held.append(text or b"")
+            n += len(held[-1])
             if n >= AT_ONCE:
                 yield from self._encoded(held)
                 held, n = [], 0
         yield from self._encoded(held)
 
-    def _encoded(self, held: list[list[bytes]]) -> list[bytes]:
-        ids = self._ids
-        new = list(set(chain.from_iterable(held)).difference(ids))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for f, e in zip(some, self.tokenizer.encode_batch_fast([f.decode() for f in some], add_special_tokens=False), strict=True):
-                ids[f] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join(map(ids.__getitem__, pieces)) for pieces in held]
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        return out
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join(texts)
+        if not data:
+            return [b""] * len(texts)
+        a = np.frombuffer(data, np.uint8)
+        lengths = np.array([len(t) for t in texts])
+        ends = np.cumsum(lengths)
+        starts = (ends - lengths)[lengths > 0]
+        at = self.fragments(a, starts)
+        if any(x in data for x in self._added_bytes):
+            added = self._added_at(texts, (ends - lengths).tolist())
+            at = self.fragments(a, np.concatenate([starts, added[added < len(data)]]))
+            at = at[~_within(at, added)]
+        size = np.diff(at, append=len(data))
+        which, first = self._distinct(a, at, size)
+        place = self._places(data, at[first], size[first])
+        place = place[which]
+        n = self._n[place]
+        total = np.cumsum(n)
+        ids = self._pool[np.arange(total[-1]) + np.repeat(self._from[place] - (total - n), n)].astype("<u4").tobytes()
+        last = np.append(0, total)[np.searchsorted(at, ends)]
+        if len(self._known) > REMEMBERED:
+            self._forget()
+        return [ids[4 * i : 4 * j] for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
+    def _added_at(self, texts: list[bytes], start: list[int]) -> np.ndarray:
+        """Starts and ends of the added tokens in the joined texts."""
+        some = re.compile(b"|".join(map(re.escape, sorted(self._added_bytes, key=len, reverse=True))))
+        found = [(s + m.start(), s + m.end()) for s, t in zip(start, texts, strict=True) for m in some.finditer(t)]
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def _distinct(self, a: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the distinct fragments each one is, and where each of those stands first. Fragments meet by a hash and are then compared."""
+        if self._power is None or len(self._power) < len(a):
+            b, inverse = self._powers
+            one = np.ones(len(a), np.uint64)
+            one[1:] = b
+            self._power = np.cumprod(one)
+            one[1:] = inverse
+            self._inverse = np.cumprod(one)
+        run = np.concatenate([[np.uint64(0)], np.cumsum(self._code[a] * self._power[: len(a)])])
+        h = (run[at + size] - run[at]) * self._inverse[at]
+        h ^= h >> np.uint64(29)
+        h = (h << np.uint64(6)) ^ size.astype(np.uint64)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if (size[first][which] != size).any() or (a[np.arange(len(a)) + np.repeat(at[first][which] - at, size)] != a).any():
+            seen: dict[bytes, int] = {}
+            which = np.array([seen.setdefault(a[s : s + n].tobytes(), len(seen)) for s, n in zip(at.tolist(), size.tolist(), strict=True)])
+            first = np.unique(which, return_index=True)[1]
+        return which, first
+
+    def _places(self, data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places of distinct fragments; those not known yet are encoded."""
+        own = [data[s : s + n] for s, n in zip(at.tolist(), size.tolist(), strict=True)]
+        known = self._known
+        place = list(map(known.get, own))
+        new = [f for f, p in zip(own, place, strict=True) if p is None]
+        if new:
+            new, ids, n = self._of_fragments(new)
+            known |= zip(new, range(len(known), len(known) + len(new)), strict=True)
+            self._from = np.concatenate([self._from, len(self._pool) + np.cumsum(n) - n])
+            self._n = np.concatenate([self._n, n])
+            self._pool = np.concatenate([self._pool, ids])
+            place = list(map(known.__getitem__, own))
+        return np.array(place)
+
+    def _of_fragments(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The fragments in another order, their ids one after the other, and how many each has.
+
+        Fragments that may stand behind one another (their joint is a certain
+        cut) are encoded in one call and told apart by their lengths in bytes.
+        """
+        joint = self._cut.reshape(256, 256)[:, 0x20].tolist() if self._joined else [False] * 256
+        joined = [f for f in new if f[0] == 0x20 and joint[f[-1]]]
+        apart = [f for f in new if f[0] != 0x20 or not joint[f[-1]]]
+        encode = self.tokenizer.encode_batch_fast
+        parts = [e.ids for e in encode([f.decode() for f in apart], add_special_tokens=False)]
+        n = [np.array([len(p) for p in parts], np.int64)]
+        ids = [np.fromiter((i for p in parts for i in p), np.uint32, int(n[0].sum()))]
+        if joined:
+            ids.append(np.asarray(encode([b"".join(joined).decode()], add_special_tokens=False)[0].ids, np.uint32))
+            ends = np.searchsorted(np.cumsum(self._bytes[ids[1]]), np.cumsum([len(f) for f in joined])) + 1
+            n.append(np.diff(ends, prepend=0))
+        return apart + joined, np.concatenate(ids), np.concatenate(n)
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -140,6 +202,12 @@ class ForcedBoundaryBPE:
         return data.decode("utf-8", "replace").encode()
 
 
+def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Which places lie inside one of the spans, behind its start."""
+    k = np.searchsorted(spans[:, 0], at, side="left") - 1
+    return (k >= 0) & (at < spans[np.maximum(k, 0), 1])
+
+
 @lru_cache(maxsize=2)
 def bpe(path: str) -> ForcedBoundaryBPE:
     import os
@@ -161,7 +229,7 @@ def _mapped(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa
                 made = pa.array(list(f(coder, b.column(at).cast(pa.binary()).to_pylist())), pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, made.cast(arrow)], names=[*b.schema.names, column])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
+    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", column: str = "token_ids") -> DataFrame:

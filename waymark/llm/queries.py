@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, exact_dedup, token_file
+from waymark.llm import bpe, exact_dedup, langid, mixing, simhash, token_file
 from waymark.llm._shared import new_path
 
 #: Id that ends each document of a token file.
@@ -30,6 +30,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, byte_bpe()).select("doc_id", "token_ids")
@@ -41,6 +45,24 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.mixture(docs)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def fold(n: int):
+    """crc32 of doc_id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(3) != 1))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -51,8 +73,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_file": op1_token_file,
+        "op2_simhash": op2_simhash,
         "op3_bpe": op3_bpe,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_mixing": op8_mixing,
+        "op10_language_id": op10_language_id,
     }
 
 

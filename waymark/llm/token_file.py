@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import rans
+from waymark.llm._shared import map_arrow
 from waymark.llm.bpe import bpe
 
 SEGMENT = 1 << 22
@@ -64,7 +65,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
         if docs:
             yield flush()
 
-    rows.mapInArrow(run, "shard int, segment int, n_docs long, n_tokens long, body binary").write.option("compression", "none").parquet(path)
+    map_arrow(rows, run, "shard int, segment int, n_docs long, n_tokens long, body binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -91,4 +92,4 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     yield pa.RecordBatch.from_arrays([*made, pa.array(own, pa.binary())] if ids else made, names=[*names, "token_ids"] if ids else names)
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids binary" * ids)
+    return map_arrow(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids binary" * ids)
