@@ -29,7 +29,7 @@ from waymark.llm._shared import map_arrow
 #: Distinct fragments that a worker remembers before it starts anew.
 REMEMBERED = 500_000
 #: Bytes of text whose fragments are worked on at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 22
 
 LETTERS = [b for b in range(128) if chr(b).isalpha()]
 #: ASCII punctuation without the apostrophe, which starts contractions.

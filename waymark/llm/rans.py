@@ -26,6 +26,8 @@ import numpy as np
 MAGIC = b"WTS1"
 SCALE, LANES, STEPS, CHECK = 20, 32, 1024, 512
 BLOCK = LANES * STEPS
+#: Ids below this are counted and looked up in arrays of that size.
+WIDE = 1 << 22
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
@@ -33,7 +35,12 @@ _WORD = np.uint64(0xFFFFFFFF)
 
 def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and frequencies of at least 1 that add up to 1 << SCALE."""
-    symbols, counts = np.unique(tokens, return_counts=True)
+    if len(tokens) and tokens.max() < WIDE:
+        counts = np.bincount(tokens)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(tokens, return_counts=True)
     if len(symbols) > 1 << SCALE:
         raise ValueError(f"more than {1 << SCALE} distinct ids in one segment")
     if not len(symbols):
@@ -110,7 +117,12 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) ->
     freq = freq32.astype(np.uint64)
     start = np.cumsum(freq) - freq
     n = len(tokens)
-    place = np.searchsorted(symbols, tokens)
+    if n and tokens.max() < WIDE:
+        of = np.zeros(int(tokens.max()) + 1, np.int32)
+        of[symbols] = np.arange(len(symbols))
+        place = of[tokens]
+    else:
+        place = np.searchsorted(symbols, tokens)
     whole, rest = divmod(n, BLOCK)
     parts = []
     if whole:

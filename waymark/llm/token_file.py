@@ -10,6 +10,7 @@ memory is bounded by that and the longest document.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -53,15 +54,20 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
             docs, held, size, segment = [], [], 0, segment + 1
             return out
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                for d, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    docs.append(d)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= SEGMENT:
-                        yield flush()
+        coming: deque[int | None] = deque()
+
+        def texts() -> Iterator[bytes | None]:
+            for batch in batches:
+                coming.extend(batch.column(0).to_pylist())
+                for at in range(0, batch.num_rows, 1000):
+                    yield from batch.column(1).slice(at, 1000).cast(pa.binary()).to_pylist()
+
+        for ids in coder.encode(texts()):
+            docs.append(coming.popleft())
+            held.append(ids + end)
+            size += len(ids) // 4 + 1
+            if size >= SEGMENT:
+                yield flush()
         if docs:
             yield flush()
 
