@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, exact_dedup, iblt, langid, mixing, simhash, token_file
+from waymark.llm import bpe, chat, exact_dedup, iblt, langid, mixing, ngram_lm, simhash, token_file
 from waymark.llm._shared import new_path
 
 #: Id that ends each document of a token file.
@@ -71,6 +71,13 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.fit(docs.filter(fold(7) != 2))
+    out = ngram_lm.score(docs, model)
+    return out.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold(3) != 1))
@@ -142,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": op6_fingerprints,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_mixing": op8_mixing,
+        "op9_ngram_lm": op9_ngram_lm,
         "op10_language_id": op10_language_id,
     }
 
