@@ -78,11 +78,11 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that exact_groups() keeps, with all their columns.
-
-    Rows that repeat both doc_id and text are one row to this filter: if their
-    doc_id is the largest of the group they all stay, else they all go.
-    """
-    gone = exact_groups(df, doc_id, text).filter("doc_id is distinct from keep_id").select(_order("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
+    """The rows of df that exact_groups() keeps, with all their columns; of rows that repeat doc_id and text any one."""
+    groups = exact_groups(df, doc_id, text)
+    gone = groups.filter("doc_id is distinct from keep_id").select(_order("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
     own = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
-    return df.join(gone, (_order(doc_id) == F.col("__gone")) & (own == F.col("__sha")), "left_anti")
+    kept = df.join(gone, (_order(doc_id) == F.col("__gone")) & (own == F.col("__sha")), "left_anti")
+    if groups.filter("not kept and doc_id <=> keep_id").isEmpty():
+        return kept
+    return kept.withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicates([doc_id, "__text"]).drop("__text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, exact_dedup, iblt, langid, mixing, ngram_lm, simhash, token_file
+from waymark.llm import bpe, chat, exact_dedup, iblt, langid, licenses, mixing, ngram_lm, simhash, token_file
 from waymark.llm._shared import new_path
 
 #: Id that ends each document of a token file.
@@ -52,6 +52,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -146,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_bpe": op3_bpe,
         "op4_chat_format": op4_chat_format,
+        "op5_license_scan": op5_license_scan,
         "op6_fingerprints": op6_fingerprints,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_mixing": op8_mixing,
