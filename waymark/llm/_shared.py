@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.session import ship
+
 _own: dict[str, str] = {}
-_shipped: set[str] = set()
 
 #: Words are runs of characters other than ASCII white space.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,18 +30,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _release() -> None:
+    """Gives memory that a task no longer needs back to the system: workers stay for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow(f, schema), with this package sent to the executors first."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parent.parent
-        path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for x in top.rglob("*.py"):
-                z.write(x, x.relative_to(top.parent))
-        sc.addPyFile(str(path))
-        _shipped.add(sc.applicationId)
-    return df.mapInArrow(f, schema)
+    ship(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -26,7 +26,7 @@ from waymark.llm._shared import map_arrow
 #: Hashed n-grams of either length.
 BUCKETS = 1 << 15
 #: Characters that are worked on at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 MAX_LANGUAGES = 400
 NEVER = np.float32(-1e4)
 
@@ -245,8 +245,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = 6
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                b = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                b = batch.slice(start, 500)
                 langs, shares, spans = label(b.column(at).to_pylist(), held.value, penalty)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares), pa.array(spans, span)], names=[*b.schema.names, "lang_pred", "score", "spans"])
 
