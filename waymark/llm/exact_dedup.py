@@ -48,7 +48,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         # the digest in a group's name only tells rows of one doc_id apart
         largest = F.max(F.struct(_order("doc_id").alias("id"), F.col("text_sha256")))
         groups = keyed.groupBy(*keys).agg(largest.alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        groups = groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), F.col("top.id").alias("top_id"), F.concat_ws(":", "top.id", "top.text_sha256").alias("top"), "n")
+        # stored by itself: Spark can split a skewed partition of a join only if no aggregation stands right below it
+        groups = stored(groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), F.col("top.id").alias("top_id"), F.concat_ws(":", "top.id", "top.text_sha256").alias("top"), "n"), "groups")
         joined = keyed.join(groups, [keyed[k] == groups[f"g_{k}"] for k in keys], "left")
         ended = F.col("n").isNull() | (F.octet_length("rest") == 0)
         table = stored(
