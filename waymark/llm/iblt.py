@@ -146,7 +146,8 @@ def with_next(df: DataFrame, doc_id: str, columns: list[str], partitions: int |
     of the first row of the range that follows.  Equal ids are ordered by
     the columns, null ids come last.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # several ranges for each shuffle partition, as they are dealt to them by a hash
+    n = partitions or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), *columns)
     cut = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("q")).first()["q"] or []
     bounds = sorted(set(cut))
