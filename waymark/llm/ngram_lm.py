@@ -273,7 +273,7 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     n_c = lambda k: F.sum(F.when((F.col("kind") == 1) & (F.col("b") == k), 1).otherwise(0))
     sums = table.agg(F.sum(F.when(F.col("kind") == 1, F.col("a"))), F.count(F.when(F.col("kind") == 1, 1)), F.sum(F.when(F.col("kind") == 1, F.col("b"))), *(n_c(k) for k in (1, 2, 3, 4)), *(F.sum(F.when((F.col("kind") == 2) & (F.col("key") == k), F.col("a"))) for k in (1, 2, 3, 4))).first()
     sums = [x or 0 for x in sums]
-    word_shards = max(1, s // 4)
+    word_shards = s
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(shard: int, rows: list[np.ndarray]) -> None:
