@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, exact_dedup, langid, mixing, simhash
-from waymark.llm._shared import stored
+from waymark.llm._shared import quoted, stored
 from waymark.llm.queries import byte_bpe
 
 #: A text whose main language has a smaller share of its letters is rejected.
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clear = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     if not model.languages:
         return clear
-    return langid.identify(clear, model).filter(F.col("score") >= LEAST_SHARE).select(docs.columns)
+    return langid.identify(clear, model, names=("__lang", "__score", "__spans")).filter(F.col("__score") >= LEAST_SHARE).select(*quoted(docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,18 @@ def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def named(df: DataFrame, **columns: str) -> DataFrame:
+    """df with columns renamed (new name = old one); what has had one of the new names goes."""
+    gone = [c for c in df.columns if c in columns]
+    df = df.drop(*gone) if gone else df
+    return df.withColumnsRenamed({old: new for new, old in columns.items()})
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """References to columns of any name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow
+from waymark.llm._shared import map_arrow, named
 
 #: Distinct fragments that a worker remembers before it starts anew.
 REMEMBERED = 500_000
@@ -217,8 +217,6 @@ def bpe(path: str) -> ForcedBoundaryBPE:
 
 
 def _mapped(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa.DataType, path: str, f) -> DataFrame:
-    if column in df.columns:
-        raise ValueError(f"the table already has a column {column}")
     at = df.columns.index(source)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +225,9 @@ def _mapped(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa
             for start in range(0, max(batch.num_rows, 1), 1000):
                 b = batch.slice(start, 1000)
                 made = pa.array(list(f(coder, b.column(at).cast(pa.binary()).to_pylist())), pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, made.cast(arrow)], names=[*b.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*b.columns, made.cast(arrow)], names=[*b.schema.names, "__made"])
 
-    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
+    return named(map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("__made", kind)])), **{column: "__made"})
 
 
 def encode(df: DataFrame, path: str, text: str = "text", column: str = "token_ids") -> DataFrame:
@@ -237,7 +235,7 @@ def encode(df: DataFrame, path: str, text: str = "text", column: str = "token_id
 
     Null and empty texts get no ids (an empty value); very long texts are read
     whole; repeated rows stay; an empty table gives an empty table.  All other
-    columns are kept; a column already named like the new one is an error.
+    columns are kept; a column already named like the new one is replaced.
     """
     return _mapped(df, text, column, T.BinaryType(), pa.binary(), path, lambda coder, texts: coder.encode(texts))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow
+from waymark.llm._shared import map_arrow, named
 
 #: Hashed n-grams of either length.
 BUCKETS = 1 << 15
@@ -227,7 +227,7 @@ def label(texts: list[str | None], model: Model, penalty: float) -> tuple[list[s
     return langs, shares, spans
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = 6.0) -> DataFrame:
+def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = 6.0, names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
     """df with lang_pred, score (share of letters in that language) and spans.
 
     Spans are runs of words of one language: start and length in code points.
@@ -235,10 +235,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = 6
     is every text if nothing was learned.  A word in a script that no language
     uses is judged among all.  Very long texts are labelled whole; repeated rows
     stay; an empty table gives an empty table.  Columns of df named like the new
-    ones are an error.
+    ones are replaced; names says how those are called.
     """
-    if clash := {"lang_pred", "score", "spans"} & set(df.columns):
-        raise ValueError(f"the table already has columns {sorted(clash)}")
     at = df.columns.index(text)
     held = df.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_LANGUAGES x 2 x BUCKETS numbers
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
@@ -248,7 +246,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = 6
             for start in range(0, batch.num_rows, 500):
                 b = batch.slice(start, 500)
                 langs, shares, spans = label(b.column(at).to_pylist(), held.value, penalty)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares), pa.array(spans, span)], names=[*b.schema.names, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(shares), pa.array(spans, span)], names=[*b.schema.names, "__lang", "__score", "__spans"])
 
-    made = T._parse_datatype_string("lang_pred string, score double, spans array<struct<start:int,length:int,lang:string>>")
-    return map_arrow(df, run, T.StructType([*df.schema.fields, *made.fields]))
+    made = T._parse_datatype_string("__lang string, __score double, __spans array<struct<start:int,length:int,lang:string>>")
+    return named(map_arrow(df, run, T.StructType([*df.schema.fields, *made.fields])), **dict(zip(names, made.names, strict=True)))

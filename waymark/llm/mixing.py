@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._shared import stored, words
+from waymark.llm._shared import named, quoted, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLICES = 1 << 14
@@ -84,11 +84,14 @@ def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     copies never exceeds most.  Nothing but doc_id, text, source, weight and
     seed decides, so reruns agree.  Null and empty texts have size 0 and no
     copies; rows that repeat doc_id and text share their fate; an empty table
-    gives an empty result.  Columns of df named like the new ones are an error;
+    gives an empty result.  Columns of df named like the new ones are replaced;
     names that begin with two underscores are the operator's own.
     """
-    if clash := {"size", "source_size", "target", "copies"} & set(df.columns):
-        raise ValueError(f"the table already has columns {sorted(clash)}")
+    out = _mixed(df, doc_id, text, source, weights, fraction, most, seed, weight)
+    return named(out, size="__size", source_size="__source_size", target="__target", copies="__copies")
+
+
+def _mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, fraction: float = 1.0, most: int = 3, seed: int = 20, weight: str | None = None) -> DataFrame:
     full = _measured(df, doc_id, text, source, seed, weight)
     slim = stored(full.select("__source", "__size", "__u", "__weight"), "mix")
     targets = stored(_targets(slim, weights, fraction, most), "targets")
@@ -115,10 +118,10 @@ def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     out = _ranked(full, state, most)
     extra = F.when(F.col("__rank").isNotNull() & _taken(), 1).otherwise(0)
     copies = F.when(F.col("__size") > 0, F.col("__whole") + extra).otherwise(0).cast("int")
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
+    return out.select(*quoted(df.columns), "__size", "__source_size", "__target", copies.alias("__copies"))
 
 
 def apply_mixture(df: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of df as often as mixture() takes it."""
-    out = mixture(df, **options).filter("copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    out = _mixed(df, **options).filter("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*quoted(df.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow, new_path, stored
+from waymark.llm._shared import map_arrow, named, new_path, stored
 
 #: Bytes of text that are hashed at once, and pairs that are held before they are sent off.
 AT_ONCE, HELD = 1 << 21, 1 << 21
@@ -365,11 +365,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts are an end alone; very long ones are read whole;
     repeated rows stay; an empty table gives an empty table.  Columns of df
-    named like the new ones are an error.
+    named like the new ones are replaced.
     """
-    made = T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double, perplexity double")
-    if clash := set(made.names) & set(df.columns):
-        raise ValueError(f"the table already has columns {sorted(clash)}")
+    made = T._parse_datatype_string("__n_tokens long, __n_known long, __base_score double, __score double, __perplexity double")
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,4 +382,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=[*batch.schema.names, *made.names])
 
-    return map_arrow(df, run, T.StructType([*df.schema.fields, *made.fields]))
+    return named(map_arrow(df, run, T.StructType([*df.schema.fields, *made.fields])), **{c.removeprefix("__"): c for c in made.names})

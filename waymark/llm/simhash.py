@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow, stored
+from waymark.llm._shared import map_arrow, named, stored
 from waymark.llm.components import components, forest
 
 SPLIT = 2048
@@ -59,9 +59,9 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 4, column: str
             for start in range(0, batch.num_rows, 2000):
                 b = batch.slice(start, 2000)
                 made = np.array([fingerprint(t or b"", width) for t in b.column(at).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], names=[*b.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made.view(np.int64))], names=[*b.schema.names, "__fp"])
 
-    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(column, T.LongType())]))
+    return named(map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())])), **{column: "__fp"})
 
 
 def trie_join(key: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
