@@ -50,7 +50,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         groups = keyed.groupBy(*keys).agg(largest.alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         # stored by itself: Spark can split a skewed partition of a join only if no aggregation stands right below it
         groups = stored(groups.select(*(F.col(k).alias(f"g_{k}") for k in keys), F.col("top.id").alias("top_id"), F.concat_ws(":", "top.id", "top.text_sha256").alias("top"), "n"), "groups")
-        joined = keyed.join(groups, [keyed[k] == groups[f"g_{k}"] for k in keys], "left")
+        # both sides dealt by key at every size: copies of the small side would only do for small inputs
+        joined = keyed.join(groups.hint("merge"), [keyed[k] == groups[f"g_{k}"] for k in keys], "left")
         ended = F.col("n").isNull() | (F.octet_length("rest") == 0)
         table = stored(
             joined.select(
@@ -83,7 +84,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     groups = exact_groups(df, doc_id, text)
     gone = groups.filter("doc_id is distinct from keep_id").select(_order("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
     own = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
-    kept = df.join(gone, (_order(doc_id) == F.col("__gone")) & (own == F.col("__sha")), "left_anti")
+    kept = df.join(gone, (_order(doc_id) == gone["__gone"]) & (own == gone["__sha"]), "left_anti")
     if groups.filter("not kept and doc_id <=> keep_id").isEmpty():
         return kept
     return kept.withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicates([doc_id, "__text"]).drop("__text")
