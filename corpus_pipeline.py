@@ -42,8 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and the digest of the text they decode to."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), byte_bpe()).drop("text")
-    out = bpe.decode(ids, byte_bpe())
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), byte_bpe(), decoded="decoded")
     return out.select("doc_id", "lang", "source", bpe.n_ids().alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

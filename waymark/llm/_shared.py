@@ -27,7 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, below one for this application."""
+    return f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has put into the shared folder; no result made from it can be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "")).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _release() -> None:

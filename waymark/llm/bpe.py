@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from waymark.llm._shared import map_arrow, named
 
 #: Distinct fragments that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Bytes of text whose fragments are worked on at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 21
 
 LETTERS = [b for b in range(128) if chr(b).isalpha()]
 #: ASCII punctuation without the apostrophe, which starts contractions.
@@ -96,7 +96,8 @@ class ForcedBoundaryBPE:
         pairs |= a[1:]
         begins = np.ones(len(a), bool)
         begins[1:] = self._cut[pairs] if self.plain else False
-        begins[also] = True
+        if len(also):
+            begins[also] = True
         return np.flatnonzero(begins)
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
@@ -122,15 +123,16 @@ class ForcedBoundaryBPE:
         at = self.fragments(a, starts)
         if any(x in data for x in self._added_bytes):
             added = self._added_at(texts, (ends - lengths).tolist())
-            at = self.fragments(a, np.concatenate([starts, added[added < len(data)]]))
-            at = at[~_within(at, added)]
+            if len(added):
+                at = self.fragments(a, np.concatenate([starts, added[added < len(data)]]))
+                at = at[~_within(at, added)]
         size = np.diff(at, append=len(data))
         which, first = self._distinct(a, at, size)
         place = self._places(data, at[first], size[first])
         place = place[which]
         n = self._n[place]
         total = np.cumsum(n)
-        ids = self._pool[np.arange(total[-1]) + np.repeat(self._from[place] - (total - n), n)].astype("<u4").tobytes()
+        ids = self._pool[np.arange(total[-1], dtype=np.int32) + np.repeat((self._from[place] - (total - n)).astype(np.int32), n)].astype("<u4").tobytes()
         last = np.append(0, total)[np.searchsorted(at, ends)]
         if len(self._known) > REMEMBERED:
             self._forget()
@@ -144,19 +146,24 @@ class ForcedBoundaryBPE:
 
     def _distinct(self, a: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the distinct fragments each one is, and where each of those stands first. Fragments meet by a hash and are then compared."""
-        if self._power is None or len(self._power) < len(a):
-            b, inverse = self._powers
-            one = np.ones(len(a), np.uint64)
-            one[1:] = b
-            self._power = np.cumprod(one)
-            one[1:] = inverse
-            self._inverse = np.cumprod(one)
-        run = np.concatenate([[np.uint64(0)], np.cumsum(self._code[a] * self._power[: len(a)])])
+        n = len(a)
+        if self._power is None or len(self._power) < n:
+            powers = []
+            for base in self._powers:
+                one = np.full(max(n, AT_ONCE), base, np.uint64)
+                one[0] = 1
+                powers.append(np.cumprod(one, out=one))
+            self._power, self._inverse = powers
+            self._run = np.zeros(len(self._power) + 1, np.uint64)
+        run = self._run[: n + 1]
+        np.take(self._code, a, out=run[1:])
+        run[1:] *= self._power[:n]
+        np.cumsum(run, out=run)
         h = (run[at + size] - run[at]) * self._inverse[at]
         h ^= h >> np.uint64(29)
         h = (h << np.uint64(6)) ^ size.astype(np.uint64)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if (size[first][which] != size).any() or (a[np.arange(len(a)) + np.repeat(at[first][which] - at, size)] != a).any():
+        if (size[first][which] != size).any() or (a[np.arange(n, dtype=np.int32) + np.repeat((at[first][which] - at).astype(np.int32), size)] != a).any():
             seen: dict[bytes, int] = {}
             which = np.array([seen.setdefault(a[s : s + n].tobytes(), len(seen)) for s, n in zip(at.tolist(), size.tolist(), strict=True)])
             first = np.unique(which, return_index=True)[1]
@@ -216,33 +223,42 @@ def bpe(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def _mapped(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa.DataType, path: str, f) -> DataFrame:
+def _mapped(df: DataFrame, source: str, columns: dict[str, T.DataType], path: str, f) -> DataFrame:
+    """df with columns that f(coder, values of source) gives as lists of bytes, in pieces of a batch."""
     at = df.columns.index(source)
+    made = [T.StructField(f"__made{i}", kind) for i, kind in enumerate(columns.values())]
+    arrow = [pa.string() if isinstance(kind, T.StringType) else pa.binary() for kind in columns.values()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
         for batch in batches:
-            for start in range(0, max(batch.num_rows, 1), 1000):
-                b = batch.slice(start, 1000)
-                made = pa.array(list(f(coder, b.column(at).cast(pa.binary()).to_pylist())), pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, made.cast(arrow)], names=[*b.schema.names, "__made"])
+            for start in range(0, batch.num_rows, 500):
+                b = batch.slice(start, 500)
+                new = f(coder, b.column(at).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.binary()).cast(k) for x, k in zip(new, arrow, strict=True))], names=[*b.schema.names, *(m.name for m in made)])
 
-    return named(map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("__made", kind)])), **{column: "__made"})
+    out = map_arrow(df, run, T.StructType([*df.schema.fields, *made]))
+    return named(out, **{c: m.name for c, m in zip(columns, made, strict=True)})
 
 
-def encode(df: DataFrame, path: str, text: str = "text", column: str = "token_ids") -> DataFrame:
-    """df with a binary column of token ids (little-endian unsigned 32-bit).
+def encode(df: DataFrame, path: str, text: str = "text", column: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """df with a binary column of token ids (little-endian unsigned 32-bit) and, if it has a name, one of the text they decode to.
 
     Null and empty texts get no ids (an empty value); very long texts are read
     whole; repeated rows stay; an empty table gives an empty table.  All other
-    columns are kept; a column already named like the new one is replaced.
+    columns are kept; a column already named like a new one is replaced.
     """
-    return _mapped(df, text, column, T.BinaryType(), pa.binary(), path, lambda coder, texts: coder.encode(texts))
+
+    def both(coder: ForcedBoundaryBPE, texts: list[bytes | None]) -> list[list[bytes]]:
+        ids = list(coder.encode(texts))
+        return [ids, [coder.decode(x) for x in ids]] if decoded else [ids]
+
+    return _mapped(df, text, {column: T.BinaryType()} | ({decoded: T.StringType()} if decoded else {}), path, both)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", column: str = "decoded") -> DataFrame:
     """df with the text of each row's ids; null ids give an empty text.  Other columns as for encode()."""
-    return _mapped(df, ids, column, T.StringType(), pa.string(), path, lambda coder, rows: (coder.decode(x or b"") for x in rows))
+    return _mapped(df, ids, {column: T.StringType()}, path, lambda coder, rows: [[coder.decode(x or b"") for x in rows]])
 
 
 def n_ids(ids: str = "token_ids"):

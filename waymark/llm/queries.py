@@ -36,8 +36,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, byte_bpe()).select("doc_id", "token_ids")
-    out = bpe.decode(ids, byte_bpe())
+    out = bpe.encode(docs, byte_bpe(), decoded="decoded")
     return out.select("doc_id", bpe.n_ids().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -214,4 +214,4 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, errors: int = 4) -> DataFrame:
     """The rows of df, with all their columns, whose doc_id is the smallest of its component; rows of null doc_id stay."""
     gone = near_groups(df, doc_id, text, width, errors).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    return df.join(gone, F.col(doc_id).cast("long") == gone["__gone"], "left_anti")
