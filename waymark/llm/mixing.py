@@ -7,8 +7,9 @@ the rank q = (u / (1 - u)) / (p / (1 - p)) from its own random number u, and
 those of lowest rank are taken: a Pareto sample, of a size fixed by the words
 that are still missing.  With `weight` the expectation also goes by document,
 so that inclusion is unequal inside a source too.  As a long document may
-stand where the target is reached, the last LAST_PLACES go each to the document
-that brings the source's words nearest to the target.
+stand where the target is reached, the last LAST_PLACES go each to the longest
+document, taken already or not, that still fits, and the very last to the one that
+brings the source's words nearest to the target.
 
 No source is sorted as a whole: words are summed by (source, slice of rank),
 and only the documents in the one slice where the target is reached are put in
@@ -24,7 +25,7 @@ from waymark.llm._shared import named, quoted, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLICES = 1 << 14
-LAST_PLACES = 3
+LAST_PLACES = 8
 
 
 
@@ -69,10 +70,11 @@ def _ranked(rows: DataFrame, state: DataFrame, most: float) -> DataFrame:
     return rows.withColumn("__rank", F.when((p > 0) & (F.col("__size") > 0), u * (F.lit(1.0) - p) / (u * (F.lit(1.0) - p) + (F.lit(1.0) - u) * p)))
 
 
-def _taken() -> Column:
-    """Whether a document's rank is among those taken: below the slice where the target is reached, or in it and up to the cut, or one of the last."""
+def _copies() -> Column:
+    """How often a document is taken: its whole copies, one if its rank is below the slice where the target is reached or in it and up to the cut, and the last places it got."""
     rank, u = F.col("__rank"), F.col("__u")
-    return F.coalesce((rank < F.col("__from")) | (rank < F.col("__cut")) | ((rank == F.col("__cut")) & (u <= F.col("__cut_u"))) | F.array_contains("__last", F.struct("__rank", "__u")), F.lit(False))
+    ranked = F.coalesce((rank < F.col("__from")) | (rank < F.col("__cut")) | ((rank == F.col("__cut")) & (u <= F.col("__cut_u"))), F.lit(False))
+    return F.col("__whole") + ranked.cast("int") + F.coalesce(F.size(F.filter("__last", lambda x: x == u)), F.lit(0))
 
 
 def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, fraction: float = 1.0, most: int = 3, seed: int = 20, weight: str | None = None) -> DataFrame:
@@ -107,17 +109,17 @@ def _mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     near = near.withColumn("so_far", F.col("before") + F.sum("__size").over(by_source.orderBy("__rank", "__u")))
     cut = near.filter("so_far <= missing").groupBy("__source").agg(F.max(F.struct("__rank", "__u", "so_far")).alias("last"))
     cut = _of_source(edge, cut).select("__source", (F.col("slice") / F.lit(float(SLICES))).alias("__from"), F.coalesce("last.__rank", F.lit(-1.0)).alias("__cut"), F.coalesce("last.__u", F.lit(0.0)).alias("__cut_u"), (F.col("missing") - F.coalesce("last.so_far", "before")).alias("__gap"))
-    state = stored(_of_source(targets, cut).withColumn("__last", F.expr("cast(array() as array<struct<__rank: double, __u: double>>)")), "cut")
+    state = stored(_of_source(targets, cut).withColumn("__last", F.expr("cast(array() as array<double>)")), "cut")
     # the last places
-    for _ in range(LAST_PLACES):
-        rest = _ranked(slim, state, most).filter(F.col("__rank").isNotNull() & ~_taken())
+    for place in range(LAST_PLACES):
+        room = F.col("__gap") * (2 if place == LAST_PLACES - 1 else 1)
         off = F.abs(F.col("__size") - F.col("__gap"))
-        last = rest.filter(off < F.col("__gap")).groupBy("__source").agg(F.min(F.struct(off.alias("off"), F.col("__rank"), F.col("__u"), F.col("__size"))).alias("__next"))
-        state = _of_source(state, last.select("__source", "__next")).withColumns({"__last": F.when(F.col("__next").isNull(), F.col("__last")).otherwise(F.array_append("__last", F.struct("__next.__rank", "__next.__u"))), "__gap": F.col("__gap") - F.coalesce("__next.__size", F.lit(0))})
+        rest = _ranked(slim, state, most).filter((F.col("__size") > 0) & (F.col("__weight") > 0) & (F.col("__size") <= room) & (off < F.col("__gap")) & (_copies() < most))
+        last = rest.groupBy("__source").agg(F.min(F.struct(off.alias("off"), _copies().alias("copies"), F.col("__rank"), F.col("__u"), F.col("__size"))).alias("__next"))
+        state = _of_source(state, last.select("__source", "__next")).withColumns({"__last": F.when(F.col("__next").isNull(), F.col("__last")).otherwise(F.array_append("__last", F.col("__next.__u"))), "__gap": F.col("__gap") - F.coalesce("__next.__size", F.lit(0))})
         state = stored(state.drop("__next"), "mixture")
     out = _ranked(full, state, most)
-    extra = F.when(F.col("__rank").isNotNull() & _taken(), 1).otherwise(0)
-    copies = F.when(F.col("__size") > 0, F.col("__whole") + extra).otherwise(0).cast("int")
+    copies = F.when(F.col("__size") > 0, F.least(_copies(), F.lit(most))).otherwise(0).cast("int")
     return out.select(*quoted(df.columns), "__size", "__source_size", "__target", copies.alias("__copies"))
 
 
