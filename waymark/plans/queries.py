@@ -82,8 +82,8 @@ def track_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def route_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The front half of the plan at two frames a mile: length, factor, densify, length again, samples, bearings."""
-    s = sampled(points(spark, sf_dir), 0.01)
+    """The front half of the plan at one frame a mile: length, factor, densify, length again, samples, bearings."""
+    s = sampled(points(spark, sf_dir), 1.0)
     return s.samples.groupBy("track_id").agg(F.count(F.lit(1)).alias("frames")).join(s.length, "track_id").select("track_id", "frames", metres("length").alias("length"), "points")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from waymark.functions.text import digest, redact_key
-from waymark.session import ship
+from waymark.session import ship, stored
 
 Fetcher = Callable[[str], tuple[bytes | None, int | None, str]]
 CONCURRENCY = 40
@@ -94,8 +94,9 @@ def fetch_cached(df: DataFrame, fetcher: Fetcher, cache: str | None, kind: str,
     spark = df.sparkSession
     have = cached(spark, cache)
     hits, misses = hits_and_misses(df, have, kind, url)
-    asked = fetch(misses.groupBy("digest").agg(F.min(url).alias("__url")), fetcher, "__url", concurrency).drop("__url").persist()
-    asked.count()
+    asked = fetch(misses.groupBy("digest").agg(F.min(url).alias("__url")), fetcher, "__url", concurrency).drop("__url")
+    # written down, not persisted: what is persisted may be lost, and goes when the cache that it was planned with is written to
+    asked = stored(asked, "answers")
     if cache:
         new = asked.filter(F.col("body").isNotNull()).select("digest", "body", F.lit(kind).alias("kind"), F.substring("digest", 1, 2).alias("shard"))
         try:
