@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import ship
+from waymark.session import clear, discard, new_path, ship, shared_dir, stored
 
-_own: dict[str, str] = {}
+__all__ = ["clear", "discard", "map_arrow", "named", "new_path", "quoted", "shared_dir", "stored", "words"]
 
 #: Words are runs of characters other than ASCII white space.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        path = _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='waymark-')}")
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, below one for this application."""
-    return f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all that this application has put into the shared folder; no result made from it can be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "")).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _release() -> None:
     """Gives memory that a task no longer needs back to the system: workers stay for later tasks."""
     import ctypes
@@ -75,23 +53,6 @@ def quoted(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text, repeats included; empty for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -100,14 +100,14 @@ class ForcedBoundaryBPE:
             begins[also] = True
         return np.flatnonzero(begins)
 
-    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes | None], at_once: int | None = None) -> Iterator[bytes]:
         """For each UTF-8 text (None: empty) its ids as little-endian unsigned 32-bit integers."""
         held: list[bytes] = []
         n = 0
         for text in texts:
             held.append(text or b"")
             n += len(held[-1])
-            if n >= AT_ONCE:
+            if n >= (at_once or AT_ONCE):
                 yield from self._encoded(held)
                 held, n = [], 0
         yield from self._encoded(held)

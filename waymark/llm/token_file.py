@@ -24,6 +24,8 @@ from waymark.llm._shared import map_arrow
 from waymark.llm.bpe import bpe
 
 SEGMENT = 1 << 22
+#: Bytes of text that are encoded at once: more of them share fragments.
+AT_ONCE = 3 << 21
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> None:
@@ -62,7 +64,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
                 for at in range(0, batch.num_rows, 1000):
                     yield from batch.column(1).slice(at, 1000).cast(pa.binary()).to_pylist()
 
-        for ids in coder.encode(texts()):
+        for ids in coder.encode(texts(), AT_ONCE):
             docs.append(coming.popleft())
             held.append(ids + end)
             size += len(ids) // 4 + 1
