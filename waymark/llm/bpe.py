@@ -47,10 +47,11 @@ def byte_of_char() -> dict[str, int]:
 class ForcedBoundaryBPE:
     """Encodes as the tokenizers library does with the same file and add_special_tokens=False, truncation and padding unused."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remembered = remembered
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -134,7 +135,7 @@ class ForcedBoundaryBPE:
         total = np.cumsum(n)
         ids = self._pool[np.arange(total[-1], dtype=np.int32) + np.repeat((self._from[place] - (total - n)).astype(np.int32), n)].astype("<u4").tobytes()
         last = np.append(0, total)[np.searchsorted(at, ends)]
-        if len(self._known) > REMEMBERED:
+        if len(self._known) > (self.remembered or REMEMBERED):
             self._forget()
         return [ids[4 * i : 4 * j] for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
@@ -216,11 +217,11 @@ def _within(at: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def bpe(path: str) -> ForcedBoundaryBPE:
+def bpe(path: str, remembered: int | None = None) -> ForcedBoundaryBPE:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on every core
-    return ForcedBoundaryBPE(path)
+    return ForcedBoundaryBPE(path, remembered)
 
 
 def _mapped(df: DataFrame, source: str, columns: dict[str, T.DataType], path: str, f) -> DataFrame:

@@ -25,7 +25,9 @@ from waymark.llm.bpe import bpe
 
 SEGMENT = 1 << 22
 #: Bytes of text that are encoded at once: more of them share fragments.
-AT_ONCE = 3 << 21
+AT_ONCE = 1 << 22
+#: Fragments that a worker remembers.
+REMEMBERED = 900_000
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> None:
@@ -41,7 +43,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = bpe(tokenizer), TaskContext.get().partitionId()
+        coder, shard = bpe(tokenizer, REMEMBERED), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         segment = 0
         docs: list[int | None] = []
