@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,3 +85,59 @@ def chosen(frames: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFrame
 def frame_number(path: Column) -> Column:
     """The number made of all digits of a file's path, by which frames are ordered."""
     return F.regexp_replace(path, "[^0-9]", "").cast("decimal(38,0)")
+
+
+def image_costs(frames: DataFrame, decode: Callable | None = None, cost: Callable | None = None, window: int = WINDOW, velocity: float = VELOCITY) -> DataFrame:
+    """Edges (track_id, i, j, cost) between frames (track_id, seq, body: the image file) at most `window` apart.
+
+    A frame's image goes to the few rows of its band, so each is joined to at
+    most 2 x window others.  decode makes an array of a file (PNG by default),
+    cost a number of two arrays; a pair of which that fails costs half the
+    diagonal of 640 x 480.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from waymark.functions import images, vision
+    from waymark.session import ship
+
+    decode, cost = decode or images.from_png, cost or vision.match_cost
+    ship(frames.sparkSession)
+
+    def run(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for first, second in a:
+            out = []
+            for x, y in zip(first.to_pylist(), second.to_pylist(), strict=True):
+                try:
+                    out.append(float(cost(decode(x), decode(y))))
+                except Exception:  # noqa: BLE001  an image that can't be read or compared
+                    out.append(400.0)
+            yield pa.array(out, pa.float64())
+
+    run.__annotations__ = {"a": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    at = lambda k: frames.select("track_id", F.col("seq").alias(k), F.col("body").alias(f"b_{k}"))
+    both = band_pairs(frames, window).join(at("i"), ["track_id", "i"]).join(at("j"), ["track_id", "j"])
+    match = F.arrow_udf(run, "double")("b_i", "b_j")
+    return both.select("track_id", "i", "j", edge_cost(match, F.col("i"), F.col("j"), velocity).alias("cost"))
+
+
+def top_features(features: DataFrame, n: int) -> DataFrame:
+    """The n strongest features (track_id, seq, feature, response) of each frame, the lower feature number on a tie."""
+    order = Window.partitionBy("track_id", "seq").orderBy(F.col("response").desc(), "feature")
+    return features.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= n).drop("__k")
+
+
+def feature_matches(features: DataFrame, window: int = WINDOW, ratio: float = 0.75) -> DataFrame:
+    """For frames at most `window` apart: each feature of the first with its nearest of the second, if that is nearer than ratio x the second nearest.
+
+    features: track_id, seq, feature, descriptor (array of numbers).  The result
+    has track_id, i, j, feature, nearest, distance.
+    """
+    pairs = band_pairs(features.select("track_id", "seq").distinct(), window)
+    at = lambda k, f, d: features.select("track_id", F.col("seq").alias(k), F.col("feature").alias(f), F.col("descriptor").alias(d))
+    both = pairs.join(at("i", "feature", "d_i"), ["track_id", "i"]).join(at("j", "nearest", "d_j"), ["track_id", "j"])
+    square = F.aggregate(F.zip_with("d_i", "d_j", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    order = Window.partitionBy("track_id", "i", "j", "feature").orderBy("distance", "nearest")
+    near = both.withColumn("distance", F.sqrt(square)).withColumns({"__k": F.row_number().over(order), "__second": F.lead("distance").over(order)})
+    return near.filter((F.col("__k") == 1) & (F.col("distance") < ratio * F.col("__second"))).select("track_id", "i", "j", "feature", "nearest", "distance")

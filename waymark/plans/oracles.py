@@ -159,6 +159,8 @@ band AS (SELECT a.track_id, a.seq AS i, b.seq AS j FROM points a JOIN points b O
 valued AS (SELECT track_id, i, j, floor(a.lat * 1e6) AS v_i, floor(b.lat * 1e6) AS v_j FROM band JOIN points a USING (track_id) JOIN points b USING (track_id) WHERE a.seq = i AND b.seq = j),
 edges AS (SELECT track_id, i, j, CASE WHEN (v_i + v_j) % 900 < 400 THEN least(abs(v_i - v_j) % 700, (v_i + v_j) % 900) ELSE 400 END + 100.0::DOUBLE * (j - i - 1) * (j - i - 1) AS cost FROM valued)"""
 
+FEATURES = "features AS (SELECT track_id, (seq // 6)::BIGINT AS seq, seq % 6 AS feature, floor(lat * 1e6 % 97)::BIGINT AS response, (floor(lat * 1e6)::BIGINT % 256) AS x, (floor(lng * -1e6)::BIGINT % 256) AS y FROM points WHERE seq < 60)"
+
 SETTINGS = """settings AS (
   SELECT percent::INTEGER AS percent, position, margin::INTEGER AS margin, greatest(1, 480 * percent // 100)::INTEGER AS size
   FROM range(1, 101) r(percent), (VALUES ('tl'), ('tr'), ('bl'), ('br')) p(position), (VALUES (0), (12), (300)) m(margin)
@@ -228,6 +230,12 @@ def oracle_sql() -> dict[str, str]:
         "frame_gather": w(*tracks, "m AS (SELECT track_id, max(seq) AS last FROM points GROUP BY track_id)", "k AS (SELECT track_id, 0 AS n, last AS f FROM m UNION ALL SELECT track_id, 1, 0 FROM m UNION ALL SELECT track_id, 2, last // 2 FROM m)") + "SELECT k.track_id, k.n::BIGINT AS seq, round(p.lat, 6) AS lat FROM k JOIN points p ON p.track_id = k.track_id AND p.seq = k.f",
         "frame_band_pairs": w(*tracks, EDGES) + "SELECT track_id, i, j FROM band",
         "frame_edge_cost": w(*tracks, EDGES) + "SELECT track_id, i, j, cost FROM edges",
+        "frame_top_features": w(*tracks, FEATURES) + "SELECT track_id, seq, feature, response FROM features QUALIFY row_number() OVER (PARTITION BY track_id, seq ORDER BY response DESC, feature) <= 3",
+        "frame_feature_matches": w(*tracks, FEATURES) + """, away AS (
+  SELECT a.track_id, a.seq AS i, b.seq AS j, a.feature, b.feature AS nearest, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS distance
+  FROM features a JOIN features b ON a.track_id = b.track_id AND b.seq > a.seq AND b.seq <= a.seq + 4
+), two AS (SELECT *, row_number() OVER o AS k, lead(distance) OVER o AS second FROM away WINDOW o AS (PARTITION BY track_id, i, j, feature ORDER BY distance, nearest))
+SELECT track_id, i, j, feature, nearest, round(distance, 6) AS distance FROM two WHERE k = 1 AND distance < 0.75 * second""",
         "frame_number": "SELECT page_id, ('7' || page_id)::BIGINT AS number FROM pages",
         "lines_union": w(*tracks) + "SELECT track_id, count(*) + count(*) FILTER (seq % 2 = 0) AS n FROM points GROUP BY track_id",
         "overlay_offsets": w(SETTINGS) + "SELECT percent, position, margin, size, x, y FROM placed",

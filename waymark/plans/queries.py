@@ -338,6 +338,23 @@ def frame_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.best_paths(edges(spark, sf_dir)).select("track_id", F.array_join("kept", ",").alias("kept"), "total")
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up features: each point is six of a frame of its track, with descriptors from its place."""
+    own = points(spark, sf_dir).filter("seq < 60")
+    return own.select("track_id", F.floor(F.col("seq") / 6).alias("seq"), (F.col("seq") % 6).alias("feature"), F.floor(F.col("lat") * 1e6 % 97).alias("response"), F.array(F.floor(F.col("lat") * 1e6) % 256, F.floor(F.col("lng") * -1e6) % 256).cast("array<double>").alias("descriptor"))
+
+
+@query
+def frame_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.top_features(features(spark, sf_dir), 3).select("track_id", "seq", "feature", "response")
+
+
+@query
+def frame_feature_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.feature_matches(features(spark, sf_dir))
+    return out.select("track_id", "i", "j", "feature", "nearest", degrees("distance").alias("distance"))
+
+
 @query
 def frame_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls(spark, sf_dir).select("page_id", frames.frame_number(F.concat(F.lit("/out7/"), F.col("page_id").cast("string"), F.lit(".jpg"))).cast("long").alias("number"))
