@@ -159,6 +159,37 @@ band AS (SELECT a.track_id, a.seq AS i, b.seq AS j FROM points a JOIN points b O
 valued AS (SELECT track_id, i, j, floor(a.lat * 1e6) AS v_i, floor(b.lat * 1e6) AS v_j FROM band JOIN points a USING (track_id) JOIN points b USING (track_id) WHERE a.seq = i AND b.seq = j),
 edges AS (SELECT track_id, i, j, CASE WHEN (v_i + v_j) % 900 < 400 THEN least(abs(v_i - v_j) % 700, (v_i + v_j) % 900) ELSE 400 END + 100.0::DOUBLE * (j - i - 1) * (j - i - 1) AS cost FROM valued)"""
 
+PATHS = """ins AS (SELECT track_id, j, list({'i': i, 'c': cost} ORDER BY i) AS e FROM edges GROUP BY track_id, j),
+solved AS (
+  SELECT track_id, 0::BIGINT AS j, [0.0::DOUBLE] AS costs, [0::BIGINT] AS prevs FROM last
+  UNION ALL
+  SELECT track_id, j, list_append(costs, list_min(new)), list_append(prevs, e[list_position(new, list_min(new))].i)
+  FROM (SELECT s.track_id, n.j, costs, prevs, n.e, list_transform(n.e, lambda x: x.c + costs[x.i + 1]) AS new FROM solved s JOIN ins n ON n.track_id = s.track_id AND n.j = s.j + 1)
+), paths AS (
+  SELECT s.track_id, s.j AS spot, [s.j] AS path, prevs, costs[-1] AS total FROM solved s JOIN last l ON l.track_id = s.track_id AND l.last = s.j WHERE s.j > 0
+  UNION ALL
+  SELECT track_id, prevs[spot + 1], list_prepend(prevs[spot + 1], path), prevs, total FROM paths WHERE spot > 0
+)"""
+
+DENSE = """plan AS (
+  SELECT track_id, trunc(length / 1600)::BIGINT AS wanted, trunc(length / 1600)::BIGINT // (points - 1) + 1 AS factor FROM lengths WHERE points > 1
+), led AS (
+  SELECT p.*, wanted, factor, lead(lat) OVER v AS n_lat, lead(lng) OVER v AS n_lng FROM points p JOIN plan USING (track_id) WINDOW v AS (PARTITION BY track_id ORDER BY seq)
+), angled AS (
+  SELECT *, 2 * asin(least(1, sqrt(pow(sin((radians(n_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(n_lat)) * pow(sin(radians(n_lng - lng) / 2), 2)))) AS d FROM led
+), shared AS (
+  SELECT *, j::DOUBLE / factor AS u FROM angled, LATERAL (SELECT unnest(range(1, factor)) AS j) WHERE factor > 1 AND (lat <> n_lat OR lng <> n_lng)
+), weighed AS (
+  SELECT *, sin((1 - u) * d) / sin(d) AS a, sin(u * d) / sin(d) AS b FROM shared
+), placed_d AS (
+  SELECT track_id, seq, j, a * cos(radians(lat)) * cos(radians(lng)) + b * cos(radians(n_lat)) * cos(radians(n_lng)) AS x, a * cos(radians(lat)) * sin(radians(lng)) + b * cos(radians(n_lat)) * sin(radians(n_lng)) AS y, a * sin(radians(lat)) + b * sin(radians(n_lat)) AS z FROM weighed
+), both_d AS (
+  SELECT track_id, seq, j, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lng FROM placed_d
+  UNION ALL SELECT track_id, seq, 0, lat, lng FROM led WHERE factor < 2
+), dense AS (
+  SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq, j) - 1 AS seq, lat, lng, NULL::DOUBLE AS ele FROM both_d
+)"""
+
 FEATURES = "features AS (SELECT track_id, (seq // 6)::BIGINT AS seq, seq % 6 AS feature, floor(lat * 1e6 % 97)::BIGINT AS response, (floor(lat * 1e6)::BIGINT % 256) AS x, (floor(lng * -1e6)::BIGINT % 256) AS y FROM points WHERE seq < 60)"
 
 SETTINGS = """settings AS (
@@ -174,6 +205,10 @@ SETTINGS = """settings AS (
 )"""
 
 
+def text(number: str) -> str:
+    return f"regexp_replace(({number})::VARCHAR, '\\.0$', '')"
+
+
 def w(*ctes: str) -> str:
     return "WITH RECURSIVE " + ", ".join(ctes) + "\n"
 
@@ -230,6 +265,10 @@ def oracle_sql() -> dict[str, str]:
         "frame_gather": w(*tracks, "m AS (SELECT track_id, max(seq) AS last FROM points GROUP BY track_id)", "k AS (SELECT track_id, 0 AS n, last AS f FROM m UNION ALL SELECT track_id, 1, 0 FROM m UNION ALL SELECT track_id, 2, last // 2 FROM m)") + "SELECT k.track_id, k.n::BIGINT AS seq, round(p.lat, 6) AS lat FROM k JOIN points p ON p.track_id = k.track_id AND p.seq = k.f",
         "frame_band_pairs": w(*tracks, EDGES) + "SELECT track_id, i, j FROM band",
         "frame_edge_cost": w(*tracks, EDGES) + "SELECT track_id, i, j, cost FROM edges",
+        "frame_best_path": w(*tracks, EDGES, PATHS) + "SELECT track_id, array_to_string(path, ',') AS kept, total FROM paths WHERE spot = 0",
+        "request_urls": w(*tracks, bearings("points"), f"t AS (SELECT track_id, seq, {text('floor(lat * 10000) / 10000')} AS a, {text('floor(lng * 10000) / 10000')} AS b, {text('floor(bearing * 10) / 10')} AS h FROM bearings)") + "SELECT track_id, seq, 'https://maps.googleapis.com/maps/api/streetview?size=640x480&location=' || a || ',' || b || '&fov=100&source=outdoor&heading=' || h || '&pitch=0&key=SECRET' AS image, 'https://maps.googleapis.com/maps/api/streetview/metadata?location=' || a || ',' || b || '&source=outdoor&key=SECRET' AS lookup FROM t",
+        "lookup_parse": w(*tracks, "r AS (SELECT track_id, seq, floor(lat * 10000) / 10000 AS lat, floor(lng * 10000) / 10000 AS lng FROM points)") + "SELECT track_id, seq, CASE WHEN lat < 47.01::DOUBLE THEN 'OK' ELSE 'ZERO_RESULTS' END AS status, CASE WHEN lat < 47.01::DOUBLE THEN '2024-01' ELSE '' END AS date, CASE WHEN lat < 47.01::DOUBLE THEN lat ELSE 0 END AS pano_lat, CASE WHEN lat < 47.01::DOUBLE THEN lng ELSE 0 END AS pano_lng FROM r",
+        "route_samples": w(*tracks, stepped(), LENGTHS, DENSE, stepped("dense").replace("pairs", "pairs_d").replace("steps", "steps_d"), "wanted_d AS (SELECT s.*, wanted FROM steps_d s JOIN plan USING (track_id))", sampled("wanted", "wanted_d"), "l AS (SELECT track_id, sum(step) AS length, count(*) AS points FROM steps_d GROUP BY track_id)") + "SELECT track_id, count(*) AS frames, round(any_value(length), 3) AS length, any_value(points) AS points FROM sampled JOIN l USING (track_id) GROUP BY track_id HAVING count(*) > 1",
         "frame_top_features": w(*tracks, FEATURES) + "SELECT track_id, seq, feature, response FROM features QUALIFY row_number() OVER (PARTITION BY track_id, seq ORDER BY response DESC, feature) <= 3",
         "frame_feature_matches": w(*tracks, FEATURES) + """, away AS (
   SELECT a.track_id, a.seq AS i, b.seq AS j, a.feature, b.feature AS nearest, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS distance

@@ -34,6 +34,11 @@ def degrees(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def cut(c: str, places: float) -> Column:
+    """Rounded down: halves are not the same everywhere."""
+    return F.floor(F.col(c) * places) / places
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.with_steps(points(spark, sf_dir))
 
@@ -266,7 +271,7 @@ def cache_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imagery and lookup requests, at positions that print alike everywhere."""
-    lat, lng, b = F.round("lat", 4), F.round("lng", 4), F.round("bearing", 1)
+    lat, lng, b = cut("lat", 1e4), cut("lng", 1e4), cut("bearing", 10.0)
     return track.with_bearings(points(spark, sf_dir)).select("track_id", "seq", text.imagery_url(lat, lng, b, KEY).alias("image"), text.lookup_url(lat, lng, KEY).alias("lookup"))
 
 
@@ -297,7 +302,7 @@ def lookup_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         full = {"status": "OK", "pano_id": f"p{lat:.2f}", "location": {"lat": lat, "lng": lng}, "date": "2024-01", "copyright": "x"}
         return json.dumps(full if lat < 47.01 else {"status": "ZERO_RESULTS"}).encode(), 200, ""
 
-    own = points(spark, sf_dir).select("track_id", "seq", text.lookup_url(F.round("lat", 4), F.round("lng", 4), KEY).alias("url"))
+    own = points(spark, sf_dir).select("track_id", "seq", text.lookup_url(cut("lat", 1e4), cut("lng", 1e4), KEY).alias("url"))
     return fetch.parsed_lookups(fetch.fetch(own, answer)).select("track_id", "seq", "status", "date", degrees("pano_lat").alias("pano_lat"), degrees("pano_lng").alias("pano_lng"))
 
 
