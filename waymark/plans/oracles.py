@@ -243,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_timestamps": w(*tracks, GAP_POINTS, gap_ctes("thin")) + "SELECT track_id, frame, round(frame / 24, 6) AS seconds FROM gaps",
         "gap_report": w(*tracks, GAP_POINTS, gap_ctes("thin")) + "SELECT track_id, frame, printf('  %6.1fs  skips %5.0f m%s  https://www.google.com/maps/@%.6f,%.6f,17z', frame / 24, metres, CASE WHEN spans > 1 THEN ' over ' || spans || ' frames' ELSE '' END, from_lat, from_lng) AS line FROM gaps",
         "track_bbox": w(*tracks) + "SELECT track_id, round(max(lat), 6) AS north, round(min(lat), 6) AS south, round(max(lng), 6) AS east, round(min(lng), 6) AS west FROM points GROUP BY track_id",
-        "track_framing": w(*tracks, "b AS (SELECT track_id, max(lat) AS n, min(lat) AS s, max(lng) AS e, min(lng) AS w FROM points GROUP BY track_id)") + f"SELECT track_id, round((n + s) / 2, 6) AS center_lat, round((e + w) / 2, 6) AS center_lng, {fit('n', 's', 'e', 'w', 192)} AS zoom FROM b",
+        "track_framing": w(*tracks, "b AS (SELECT track_id, max(lat) AS n, min(lat) AS s, max(lng) AS e, min(lng) AS w FROM points GROUP BY track_id)") + f"SELECT track_id, round((n + s) / 2, 8) AS center_lat, round((e + w) / 2, 8) AS center_lng, {fit('n', 's', 'e', 'w', 192)} AS zoom FROM b",
         "mercator_pixel": w(*tracks) + f"SELECT track_id, seq, round({x0('lng')}, 6) AS x, round({y0('lat')}, 6) AS y FROM points",
         "image_pixel": w(*tracks) + f"SELECT track_id, seq, round(2 * {x}, 3) AS x, round(2 * {y}, 3) AS y FROM points",
         "fit_zoom": w(*tracks) + f"SELECT track_id, seq, {fit('(lat + seq / 7)', 'lat', '(lng + seq / 7 * 1.5::DOUBLE)', 'lng', 192)} AS zoom FROM points WHERE seq < 20",

@@ -176,7 +176,7 @@ def track_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def track_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.framing(points(spark, sf_dir), SIZE).select("track_id", degrees("center_lat").alias("center_lat"), degrees("center_lng").alias("center_lng"), "zoom")
+    return view.framing(points(spark, sf_dir), SIZE).select("track_id", F.round("center_lat", 8).alias("center_lat"), F.round("center_lng", 8).alias("center_lng"), "zoom")
 
 
 @query
