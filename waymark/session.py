@@ -36,6 +36,14 @@ def ship(spark: SparkSession | None = None) -> None:
     _shipped.add(sc.applicationId)
 
 
+def partitions(df: DataFrame, each: int = 256 << 20) -> int:
+    """How many partitions to deal df to: as the session says, or more if the files it is read from would give over `each` bytes to one."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 58)  # tables without files count as endless
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a new temporary one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
