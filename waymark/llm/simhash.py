@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow, named, stored
+from waymark.llm._shared import map_arrow, named, partitions, stored
 from waymark.llm.components import components, forest
 
 SPLIT = 2048
@@ -165,30 +165,31 @@ def _linked(batches: Iterable[pa.RecordBatch], errors: int) -> Iterator[pa.Recor
 
 def links(fps: DataFrame, errors: int = 4) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column fp: long) within the error budget as all links would."""
-    paths = {0: ([], list(range(63, -1, -1)))}  # of each path: the bits that are equal, and those that are left
+    parts = errors + 1
+    paths = [([], list(range(63, -1, -1)))]  # of each path: the bits that are equal, and those that are left
     rows = fps.select("fp", F.lit(0).alias("path"))
     out = None
     while True:
         # each path's keys are cut by the blocks of the bits that are left
-        cut, new = [], {}
-        for p, (fixed, left) in paths.items():
-            for block in _blocks(left, errors + 1):
-                k = len(new)
-                new[k] = (fixed + block, [b for b in left if b not in set(block)])
-                cut.append(F.struct(F.lit(p).alias("of"), F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(_mask(new[k][0]))).alias("value")))
-        keyed = rows.select("fp", "path", F.explode(F.array(*cut)).alias("k")).filter("path = k.of").select("k.path", "k.value", "fp")
-        final = all(len(left) <= BOTTOM for _, left in new.values())
+        new = [(fixed + block, [b for b in left if b not in set(block)]) for fixed, left in paths for block in _blocks(left, parts)]
+        masks = F.lit(np.array([_mask(fixed) for fixed, _ in new], np.int64))
+        cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct((F.col("path") * parts + k).alias("path"), F.col("fp").bitwiseAND(F.get(masks, F.col("path") * parts + k)).alias("value")))
+        keyed = rows.select("fp", F.explode(cut).alias("k")).select("k.path", "k.value", "fp")
+        final = all(len(left) <= BOTTOM for _, left in new)
         if not final:
             large = stored(keyed.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select("path", "value"), "large")
             final = large.isEmpty()
         ordinary = keyed if final else keyed.join(large, ["path", "value"], "left_anti")
-        n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = partitions(fps, 16 << 20)  # each row goes to errors + 1 tries
         found = map_arrow(ordinary.repartition(n, "path", "value").sortWithinPartitions("path", "value", "fp"), lambda batches: _linked(batches, errors), "a long, b long")
         out = found if out is None else out.union(found)
         if final:
             return out
-        rows = stored(keyed.join(large, ["path", "value"], "left_semi").select("fp", "path"), "rows")
-        paths = {k: v for k, v in new.items() if k in {r["path"] for r in large.select("path").distinct().collect()}}
+        hot = sorted(r["path"] for r in large.select("path").distinct().collect())
+        number = np.zeros(len(new), np.int64)
+        number[hot] = np.arange(len(hot))
+        rows = stored(keyed.join(large, ["path", "value"], "left_semi").select("fp", F.get(F.lit(number), "path").cast("int").alias("path")).distinct(), "rows")
+        paths = [new[k] for k in hot]
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, errors: int = 4) -> DataFrame:
