@@ -100,7 +100,7 @@ def test_frequencies_add_up_with_many_rare_ids():
 
 def test_token_file(spark, docs, rows, reference, monkeypatch):
     path = new_path(spark, "tokens")
-    token_file.write(docs, path, byte_bpe(), 2, partitions=3)
+    token_file.write(docs, path, byte_bpe(), 2, shards=3)
     got = token_file.read(spark, path, ids=True).collect()
     assert len(got) == len(rows)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -119,7 +119,7 @@ def test_token_file_of_nothing_and_of_many_segments(spark, docs, empty, monkeypa
     assert token_file.read(spark, path).count() == 0
     big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word after word "), 800).alias("text"))
     path = new_path(spark, "tokens")
-    token_file.write(big, path, byte_bpe(), 2, partitions=1)
+    token_file.write(big, path, byte_bpe(), 2, shards=1)
     assert spark.read.parquet(path).count() > 1
     out = token_file.read(spark, path).orderBy("doc_id").collect()
     n = out[0]["n_tokens"]

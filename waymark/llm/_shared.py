@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import clear, discard, new_path, ship, shared_dir, stored
+from waymark.session import clear, discard, new_path, partitions, ship, shared_dir, stored
 
-__all__ = ["clear", "discard", "map_arrow", "named", "new_path", "quoted", "shared_dir", "stored", "words"]
+__all__ = ["clear", "discard", "map_arrow", "named", "new_path", "partitions", "quoted", "shared_dir", "stored", "words"]
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Words are runs of characters other than ASCII white space.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,6 +33,9 @@ def _release() -> None:
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow(f, schema), with this package sent to the executors first."""
     ship(df.sparkSession)
+    # rows are whole documents here: smaller batches than Spark's default, unless the session has its own
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, "2000")
 
     def run(batches):
         try:

@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from waymark.llm._shared import map_arrow, named
 
 #: Distinct fragments that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text whose fragments are worked on at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 LETTERS = [b for b in range(128) if chr(b).isalpha()]
 #: ASCII punctuation without the apostrophe, which starts contractions.

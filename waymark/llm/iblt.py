@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._shared import stored
+from waymark.llm._shared import partitions, stored
 from waymark.llm.native import let
 
 PIECE = 200
@@ -138,7 +138,7 @@ def compare(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def with_next(df: DataFrame, doc_id: str, columns: list[str], partitions: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, doc_id: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """doc_id, columns and, as next_..., the columns of the following row in descending order of doc_id; the first row follows the last.
 
     Rows are dealt to ranges of doc_id with about equal numbers of rows, found
@@ -147,7 +147,7 @@ def with_next(df: DataFrame, doc_id: str, columns: list[str], partitions: int |
     the columns, null ids come last.
     """
     # several ranges for each shuffle partition, as they are dealt to them by a hash
-    n = partitions or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or 4 * partitions(df)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), *columns)
     cut = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("q")).first()["q"] or []
     bounds = sorted(set(cut))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._shared import map_arrow, named, new_path, stored
+from waymark.llm._shared import map_arrow, named, new_path, partitions, stored
 
 #: Bytes of text that are hashed at once, and pairs that are held before they are sent off.
 AT_ONCE, HELD = 1 << 21, 1 << 21
@@ -205,7 +205,7 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
 def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     """Counts all rows of df and writes the model; null texts are an end alone, an empty table gives an empty model."""
     spark = df.sparkSession
-    s = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = shards or partitions(df)
     path = new_path(spark, "ngrams")
     folder = local(path)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import rans
-from waymark.llm._shared import map_arrow
+from waymark.llm._shared import map_arrow, partitions
 from waymark.llm.bpe import bpe
 
 SEGMENT = 1 << 22
@@ -30,15 +30,14 @@ AT_ONCE = 1 << 22
 REMEMBERED = 900_000
 
 
-def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> None:
     """Encodes each whole text, adds end_id and writes a token file.
 
     Null and empty texts are written as the end id alone.  Rows of equal doc_id
     are all written, ordered by text; null ids come first.  Other columns are
     not read.  An empty table gives a file without segments.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or partitions(df)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
