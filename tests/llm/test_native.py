@@ -54,7 +54,6 @@ def test_chats_come_back(spark, budget, history):
     for w in windows.collect():
         turns = want[w["conv_id"]]
         blocks = [f"<|im_start|>{plain(r)}<|im_sep|>{plain(t)}<|im_end|>\n" for r, t in turns]
-        tokens = [-(-len(b.encode()) // 4) for b in blocks]
         system = turns[0][0] == "system"
         parts = re.findall(r"<\|im_start\|>.*?<\|im_end\|>\n", w["formatted"], re.S)
         assert len(parts) == w["n_turns"] and "".join(parts) == w["formatted"]
@@ -67,7 +66,6 @@ def test_chats_come_back(spark, budget, history):
             assert sum(-(-len(p.encode()) // 4) for p in repeated) <= history
         for m in w["loss"]:
             assert m["start"] >= sum(len(p) for p in parts[: w["n_repeated"]])
-        assert tokens
 
 
 def test_no_chats(spark):
@@ -93,7 +91,6 @@ def test_fingerprints(docs, rows, empty):
     got = defaultdict(list)
     for r in iblt.fingerprints(docs).collect():
         got[r["doc_id"]].append(r)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""), reverse=False)
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""), reverse=True) + sorted((r for r in rows if r[0] is None), key=lambda r: r[1] or "", reverse=True)
     assert sum(map(len, got.values())) == len(rows)
     prints = defaultdict(set)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from waymark.llm import bpe, exact_dedup, mixing, simhash
+from waymark.llm import bpe, mixing, simhash
 from waymark.llm._shared import stored
 from waymark.llm.queries import byte_bpe
 
@@ -57,10 +57,7 @@ def test_nothing_in_nothing_out(spark, empty):
 
 
 def test_no_language_named(spark, docs):
-    df = docs.select(COLUMNS).withColumn("lang", docs["lang"].substr(99, 1)).filter("text is not null")
-    from pyspark.sql import functions as F
-
-    df = df.withColumn("lang", F.lit(None).cast("string"))
+    df = docs.select(COLUMNS).withColumn("lang", F.lit(None).cast("string"))
     kept = pipeline.language_id(spark, df, "").count()
     assert kept == df.filter("text rlike '\\\\p{L}'").count()
 
@@ -69,4 +66,3 @@ def test_run(spark, tmp_path, docs):
     docs.select(COLUMNS).filter("doc_id is not null").write.parquet(f"{tmp_path}/documents.parquet")
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and "token_ids" in out.columns
-    assert exact_dedup and pytest
