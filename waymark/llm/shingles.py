@@ -1,0 +1,138 @@
+"""Near-duplicates by the exact Jaccard similarity of texts' shingles.
+
+Candidates come from MinHash: of each text BANDS values, each made of ROWS
+minima over its shingles.  Texts of similarity s share none of them with
+probability (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8 and less above.  Whether a
+pair is linked is decided by the sets of shingles themselves.
+
+First each text is compared with one text of each of its values, another for
+each value; what is not connected by then is compared pair by pair.  A large
+group of near copies is thus connected before its pairs are made.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from waymark.llm import ngram_lm
+from waymark.llm._shared import map_arrow, partitions, quoted, stored
+from waymark.llm.components import components
+
+ROWS, BANDS = 4, 32
+_u = np.uint64
+
+
+def shingles(text: bytes, width: int) -> set[bytes]:
+    """The different runs of width words of a UTF-8 text; all its words if there are fewer."""
+    words = text.lower().split()  # of bytes: A-Z only, and ASCII white space
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def _seeds() -> np.ndarray:
+    return np.random.default_rng(42).integers(0, 1 << 63, (ROWS * BANDS, 2), np.uint64) * _u(2) + _u(1)
+
+
+def minima(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have words, and BANDS values of each of these."""
+    w, n = ngram_lm.hashed(texts)
+    n = n - 1
+    w = w[w != ngram_lm.END]
+    some = np.flatnonzero(n > 0)
+    n = n[some]
+    many = np.maximum(1, n - width + 1)
+    first = np.cumsum(n) - n
+    at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    end = np.repeat(first + n, many)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        inside = at + j < end
+        h = ngram_lm._mix(h * _u(0x9E3779B97F4A7C15) + np.where(inside, w[np.minimum(at + j, max(0, len(w) - 1))], _u(0)))
+    out = np.zeros((BANDS, len(some)), np.uint64)
+    if not len(some):
+        return some, out.T
+    starts = np.cumsum(many) - many
+    for k, (a, b) in enumerate(_seeds()):
+        v = (h ^ b) * a
+        v ^= v >> _u(32)
+        v *= _u(0xD6E8FEB86659FD93)
+        out[k // ROWS] = ngram_lm._mix(out[k // ROWS] + np.minimum.reduceat(v, starts) + _u(k))
+    return some, out.T
+
+
+def _valued(rows: DataFrame, width: int) -> DataFrame:
+    """(key, value) for all values of all rows (key, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, at = batch.column(0).to_numpy(), 0
+            for texts in ngram_lm._chunks(batch.column(1)):
+                some, values = minima(texts, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key[at + some], BANDS)), pa.array(values.reshape(-1).view(np.int64))], names=["key", "value"])
+                at += len(texts)
+
+    return map_arrow(rows, run, "key long, value long")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = (None, None)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                a, s, t = part.column(0).to_pylist(), part.column(2).cast(pa.binary()), part.column(3).cast(pa.binary())
+                for i in range(part.num_rows):
+                    if known[0] != a[i]:
+                        known = a[i], shingles(s[i].as_py(), width)
+                    x, y = known[1], shingles(t[i].as_py(), width)
+                    both = len(x & y)
+                    keep[start + i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    one = rows.select(F.col("key").alias("a"), F.col("text").alias("s"))
+    two = rows.select(F.col("key").alias("b"), F.col("text").alias("t"))
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t"), run, "a long, b long")
+
+
+def links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the keys of rows (key, text) as all pairs of at least that similarity would."""
+    valued = stored(_valued(rows, width), "values")
+    n = partitions(valued)
+    own = F.xxhash64("key", "value")
+    shared = valued.repartition(n, "value").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", own).alias("b")).filter("n > 1")
+    shared = stored(valued.join(shared, "value").select("value", "key", "b"), "shared")
+    stars = shared.filter("key <> b").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
+    stars = stored(stars, "stars")
+    found = stored(_similar(stars, rows, width, similarity), "found")
+    root = components(found)
+    placed = shared.join(root, shared.key == root.node, "left").select("value", "key", F.coalesce("root", "key").alias("root"))
+    # values whose texts are not all connected yet
+    open_ = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
+    placed = stored(placed.join(open_, "value"), "open")
+    x, y = (placed.select("value", F.col("key").alias(k), F.col("root").alias(r)) for k, r in (("a", "r_a"), ("b", "r_b")))
+    rest = x.join(y, "value").filter("a > b and r_a <> r_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return found.union(stored(_similar(stored(rest, "rest"), rows, width, similarity), "found"))
+
+
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df, with all their columns, whose doc_id is the smallest that links lead to; rows of null doc_id link others and stay.
+
+    Two texts are linked if the Jaccard similarity of their shingles of width
+    words (A-Z in lower case) is at least `similarity`.  Texts without words
+    are linked with nothing; repeated rows share their fate.
+    """
+    full = stored(df.withColumn("__key", F.monotonically_increasing_id()), "numbered")
+    slim = full.select(F.col("__key").alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = components(links(slim.select("key", "text").filter("text is not null"), width, similarity))
+    member = found.select(F.col("node").alias("key"), "root").union(found.select("root", "root")).distinct()
+    member = stored(member.join(slim.select("key", "doc_id"), "key").filter("doc_id is not null"), "members")
+    low = member.groupBy("root").agg(F.min("doc_id").alias("low"))
+    gone = member.join(low, "root").filter("doc_id <> low").select(F.col("key").alias("__gone")).distinct()
+    return full.join(gone, F.col("__key") == gone["__gone"], "left_anti").select(*quoted(df.columns))
