@@ -192,9 +192,9 @@ def image_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fit_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = points(spark, sf_dir).filter("seq < 20")
-    d = F.col("seq") / 7.0
-    return df.select("track_id", "seq", geo.fit_zoom(F.col("lat") + d, F.col("lat"), F.col("lng") + d * 1.5, F.col("lng"), SIZE).alias("zoom"))
+    """Boxes of twenty sizes at all points."""
+    d = F.col("seq") % 20 / 7.0
+    return points(spark, sf_dir).select("track_id", "seq", geo.fit_zoom(F.col("lat") + d, F.col("lat"), F.col("lng") + d * 1.5, F.col("lng"), SIZE).alias("zoom"))
 
 
 @query
