@@ -42,3 +42,10 @@ def held_against(spark, folder, name, *changes):
 def test_fit_zoom_has_all_points(spark, folder):
     rows = held_against(spark, folder, "fit_zoom", (" WHERE seq < 20", ""), ("seq / 7", "(seq % 20) / 7"))
     assert len(rows) == 130 + 75 + 1 + 12
+
+
+# features
+@pytest.mark.parametrize("name", ["frame_top_features", "frame_feature_matches"])
+def test_features_of_all_frames(spark, folder, name):
+    rows = held_against(spark, folder, name, (" WHERE seq < 60", ""))
+    assert max(r["seq" if name == "frame_top_features" else "j"] for r in rows) >= 20
