@@ -49,3 +49,18 @@ def test_fit_zoom_has_all_points(spark, folder):
 def test_features_of_all_frames(spark, folder, name):
     rows = held_against(spark, folder, name, (" WHERE seq < 60", ""))
     assert max(r["seq" if name == "frame_top_features" else "j"] for r in rows) >= 20
+
+
+# windows
+def test_follow_view_has_all_frames(spark, folder):
+    rows = held_against(spark, folder, "follow_view", (" WHERE f.seq % 10 = 0", ""))
+    assert len(rows) == 130 + 75 + 1 + 12
+
+
+def test_map_urls_show_the_panoramas_of_all_points(spark, folder):
+    rows = queries.queries()["map_url_follow"](spark, folder).collect()
+    assert sorted((r["track_id"], r["frame"]) for r in rows) == sorted((t, k) for t, n in ((1, 130), (2, 75), (3, 1), (4, 12)) for k in range(n))
+    line = queries.panorama(spark, folder).collect()
+    best = queries.queries()["pano_run_best"](spark, folder).collect()
+    assert sorted((r["track_id"], r["seq"], round(r["lat"], 6)) for r in line) == sorted((r["track_id"], r["seq"], r["lat"]) for r in best)
+    assert len(queries.queries()["map_url_overview"](spark, folder).collect()) == 4

@@ -214,9 +214,9 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def follow_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the window around each tenth point shows of the track."""
+    """What the window around each point shows of the track."""
     own = points(spark, sf_dir)
-    f = own.filter("seq % 10 = 0").select("track_id", F.col("seq").alias("frame"), "lat", "lng")
+    f = own.select("track_id", F.col("seq").alias("frame"), "lat", "lng")
     return view.follow_runs(f, own, ZOOM + 2, SIZE).groupBy("track_id", "frame").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.size("points")).alias("n"))
 
 
@@ -398,16 +398,21 @@ def filter_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("percent", "position", render.filter_graph(F.col("mode"), x, y, s).alias("graph"), F.round(render.progress_percent(F.col("mode"), F.col("percent"), F.lit(100)), 6).alias("progress"))
 
 
+def panorama(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of the panoramas that are kept."""
+    return panos.best_of_runs(zipped(spark, sf_dir)).select("track_id", "seq", "lat", "lng")
+
+
 @query
 def map_url_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = points(spark, sf_dir)
-    return maps.overview_urls(own, own.filter("seq % 3 = 0"), SIZE, KEY)
+    return maps.overview_urls(points(spark, sf_dir), panorama(spark, sf_dir), SIZE, KEY)
 
 
 @query
 def map_url_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
-    return maps.follow_urls(own, own.filter("seq % 3 = 0").withColumn("seq", F.floor(F.col("seq") / 3)), ZOOM + 2, SIZE, KEY)
+    frames_ = own.select("track_id", F.col("seq").alias("frame"), "lat", "lng")
+    return maps.follow_urls(own, panorama(spark, sf_dir), ZOOM + 2, SIZE, KEY, frames_)
 
 
 @query
