@@ -6,14 +6,16 @@ that are certain copies.  For the rest p = rate - whole part, a document gets
 the rank q = (u / (1 - u)) / (p / (1 - p)) from its own random number u, and
 those of lowest rank are taken: a Pareto sample, of a size fixed by the words
 that are still missing.  With `weight` the expectation also goes by document,
-so that inclusion is unequal inside a source too.  As a long document may
-stand where the target is reached, the last LAST_PLACES go each to the longest
-document, taken already or not, that still fits, and the very last to the one that
-brings the source's words nearest to the target.
+so that inclusion is unequal inside a source too.  A document that doesn't fit
+into the words still missing is skipped, and those behind it in the order are
+taken on; after the last one comes the first again, for one more copy each,
+until no document fits.  The very last place goes to the one that brings the
+source's words nearest to the target.
 
 No source is sorted as a whole: words are summed by (source, slice of rank),
 and only the documents in the one slice where the target is reached are put in
-order.  What is kept by source is one row each.
+order.  A pass goes from there up to the next document that has to be skipped;
+what is kept by source is one row with the bounds of its passes.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ from waymark.llm._shared import named, quoted, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLICES = 1 << 14
-LAST_PLACES = 8
-
-
+PASS = "struct<from: double, from_u: double, to: double, to_u: double, room: double>"
 
 def uniform(seed: int, *columns: Column) -> Column:
     """A number inside (0, 1) that depends on nothing but the columns and the seed."""
@@ -62,19 +62,62 @@ def _targets(rows: DataFrame, weights, fraction: float, most: float) -> DataFram
 
 
 def _ranked(rows: DataFrame, state: DataFrame, most: float) -> DataFrame:
-    """rows with what is expected of each document: whole copies, and its place in the order of ranks, inside (0, 1) and increasing with q."""
+    """rows with what is expected of each document: whole copies, and its place in the order of ranks, inside (0, 1) and increasing with q; over 1 where nothing is expected beyond whole copies."""
     rows = _of_source(rows, state)
     rate = F.when(F.col("__weighted") > 0, F.least(F.col("__target") * F.col("__weight") / F.col("__weighted"), F.lit(float(most)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("__rate", rate).withColumn("__whole", F.floor("__rate"))
     p, u = F.col("__rate") - F.col("__whole"), F.col("__u")
-    return rows.withColumn("__rank", F.when((p > 0) & (F.col("__size") > 0), u * (F.lit(1.0) - p) / (u * (F.lit(1.0) - p) + (F.lit(1.0) - u) * p)))
+    rank = F.when(p > 0, u * (F.lit(1.0) - p) / (u * (F.lit(1.0) - p) + (F.lit(1.0) - u) * p)).otherwise(1 + u)
+    return rows.withColumn("__rank", F.when((F.col("__size") > 0) & (F.col("__weight") > 0), rank))
 
 
-def _copies() -> Column:
-    """How often a document is taken: its whole copies, one if its rank is below the slice where the target is reached or in it and up to the cut, and the last places it got."""
+def _copies(most: int) -> Column:
+    """How often a document is taken: its whole copies, and one for each pass that took it, up to most."""
     rank, u = F.col("__rank"), F.col("__u")
-    ranked = F.coalesce((rank < F.col("__from")) | (rank < F.col("__cut")) | ((rank == F.col("__cut")) & (u <= F.col("__cut_u"))), F.lit(False))
-    return F.col("__whole") + ranked.cast("int") + F.coalesce(F.size(F.filter("__last", lambda x: x == u)), F.lit(0))
+
+    def one(n: Column, x: Column) -> Column:
+        beyond = (rank > x["from"]) | ((rank == x["from"]) & (u > x["from_u"]))
+        upto = (rank < x["to"]) | ((rank == x["to"]) & (u <= x["to_u"]))
+        return n + F.coalesce(beyond & upto & (F.col("__size") <= x["room"]) & (n < most), F.lit(False)).cast("long")
+
+    taken = F.aggregate("__passes", F.col("__whole").cast("long"), one)
+    return taken + F.coalesce((rank == F.col("__last.__rank")) & (u == F.col("__last.__u")) & (taken < most), F.lit(False)).cast("long")
+
+
+def _pass(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """state after one more pass of each source: from where the last one stopped, over the documents that fit one by one, as far as they fit together.
+
+    The next pass begins behind the first document that doesn't fit; behind the
+    last document the order begins anew, unless nothing has fitted since it last did: then the source is done.
+    """
+    by_source = Window.partitionBy("__source")
+    rank, u = F.col("__rank"), F.col("__u")
+    open_ = _ranked(slim, state.filter("not __done"), most).filter(((rank > F.col("__from")) | ((rank == F.col("__from")) & (u > F.col("__from_u")))) & (F.col("__size") <= F.col("__gap")))
+    rows = open_.filter(_copies(most) < most).withColumn("slice", F.floor(rank * SLICES))
+    slices = rows.groupBy("__source", "slice").agg(F.sum("__size").alias("words"), F.first("__gap").alias("gap"))
+    so_far = F.sum("words").over(by_source.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.withColumn("before", F.coalesce(so_far, F.lit(0))).filter("before <= gap")
+    edge = stored(slices.groupBy("__source").agg(F.max(F.struct("slice", "before")).alias("at")).select("__source", F.col("at.slice").alias("at_slice"), "at.before"), "edge")
+    # the documents of that one slice, in order
+    near = _of_source(rows, edge, "inner").filter("slice = at_slice")
+    near = near.withColumn("so_far", F.col("before") + F.sum("__size").over(by_source.orderBy("__rank", "__u")))
+    fits = F.col("so_far") <= F.col("__gap")
+    cut = near.groupBy("__source").agg(F.max(F.when(fits, F.struct("__rank", "__u", "so_far"))).alias("to"), F.min(F.when(~fits, F.struct("__rank", "__u"))).alias("over"))
+    cut = _of_source(edge, cut).select("__source", "at_slice", "before", "to", "over")
+    state = _of_source(state, cut)
+    # nothing of the slice may fit, but all before it
+    to = F.coalesce("to.__rank", F.col("at_slice") / F.lit(float(SLICES)))
+    one = F.struct(F.col("__from").alias("from"), F.col("__from_u").alias("from_u"), to.alias("to"), F.coalesce("to.__u", F.lit(-1.0)).alias("to_u"), F.col("__gap").cast("double").alias("room"))
+    some, taken = F.col("at_slice").isNotNull(), F.coalesce("to.so_far", "before", F.lit(0))
+    new = {
+        "__done": F.col("__done") | (~some & ((F.col("__from") < 0) | ~F.col("__took"))),
+        "__took": some & (F.col("__took") | (taken > 0)),
+        "__passes": F.when(taken > 0, F.array_append("__passes", one)).otherwise(F.col("__passes")),
+        "__gap": F.col("__gap") - taken,
+        "__from": F.coalesce("over.__rank", F.lit(-1.0)),
+        "__from_u": F.coalesce("over.__u", F.lit(-1.0)),
+    }
+    return state.withColumns(new).drop("at_slice", "before", "to", "over")
 
 
 def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, fraction: float = 1.0, most: int = 3, seed: int = 20, weight: str | None = None) -> DataFrame:
@@ -97,29 +140,21 @@ def _mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     full = _measured(df, doc_id, text, source, seed, weight)
     slim = stored(full.select("__source", "__size", "__u", "__weight"), "mix")
     targets = stored(_targets(slim, weights, fraction, most), "targets")
-    rows = _ranked(slim, targets, most).withColumn("slice", F.floor(F.col("__rank") * SLICES))
-    by_source = Window.partitionBy("__source")
-    slices = rows.groupBy("__source", "slice").agg(F.sum("__size").alias("words"), F.sum(F.col("__whole") * F.col("__size")).alias("certain"))
-    slices = _of_source(slices.withColumn("certain", F.sum("certain").over(by_source)).filter("slice is not null"), targets.select("__source", "__target"))
-    so_far = F.sum("words").over(by_source.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select("__source", "slice", F.coalesce(so_far, F.lit(0)).alias("before"), (F.col("__target") - F.col("certain")).alias("missing")).filter("before <= missing")
-    edge = stored(slices.groupBy("__source").agg(F.max(F.struct("slice", "before", "missing")).alias("at")).select("__source", "at.slice", "at.before", "at.missing"), "edge")
-    # the documents of that one slice, in order
-    near = _of_source(rows, edge.withColumnRenamed("slice", "at_slice"), "inner").filter("slice = at_slice")
-    near = near.withColumn("so_far", F.col("before") + F.sum("__size").over(by_source.orderBy("__rank", "__u")))
-    cut = near.filter("so_far <= missing").groupBy("__source").agg(F.max(F.struct("__rank", "__u", "so_far")).alias("last"))
-    cut = _of_source(edge, cut).select("__source", (F.col("slice") / F.lit(float(SLICES))).alias("__from"), F.coalesce("last.__rank", F.lit(-1.0)).alias("__cut"), F.coalesce("last.__u", F.lit(0.0)).alias("__cut_u"), (F.col("missing") - F.coalesce("last.so_far", "before")).alias("__gap"))
-    state = stored(_of_source(targets, cut).withColumn("__last", F.expr("cast(array() as array<double>)")), "cut")
-    # the last places
-    for place in range(LAST_PLACES):
-        room = F.col("__gap") * (2 if place == LAST_PLACES - 1 else 1)
-        off = F.abs(F.col("__size") - F.col("__gap"))
-        rest = _ranked(slim, state, most).filter((F.col("__size") > 0) & (F.col("__weight") > 0) & (F.col("__size") <= room) & (off < F.col("__gap")) & (_copies() < most))
-        last = rest.groupBy("__source").agg(F.min(F.struct(off.alias("off"), _copies().alias("copies"), F.col("__rank"), F.col("__u"), F.col("__size"))).alias("__next"))
-        state = _of_source(state, last.select("__source", "__next")).withColumns({"__last": F.when(F.col("__next").isNull(), F.col("__last")).otherwise(F.array_append("__last", F.col("__next.__u"))), "__gap": F.col("__gap") - F.coalesce("__next.__size", F.lit(0))})
-        state = stored(state.drop("__next"), "mixture")
+    certain = _ranked(slim, targets, most).groupBy("__source").agg(F.sum(F.col("__whole") * F.col("__size")).alias("__certain"))
+    state = _of_source(targets, certain).withColumn("__gap", F.col("__target") - F.col("__certain")).drop("__certain")
+    state = state.withColumns({"__passes": F.expr(f"cast(array() as array<{PASS}>)"), "__from": F.lit(-1.0), "__from_u": F.lit(-1.0), "__took": F.lit(False), "__done": F.lit(False), "__last": F.expr("cast(null as struct<__rank: double, __u: double>)")})
+    state = stored(state, "mixture")
+    while not state.filter("not __done").isEmpty():
+        state = stored(_pass(slim, state, most), "mixture")
+    # the last place
+    off = F.abs(F.col("__size") - F.col("__gap"))
+    rest = _ranked(slim, state, most).withColumn("copies", _copies(most)).filter(F.col("__rank").isNotNull() & (F.col("__size") < 2 * F.col("__gap")) & (F.col("copies") < most))
+    rest = rest.groupBy("__source", "__rank", "__u", "__gap").agg(F.sum("__size").alias("__size"), F.min("copies").alias("copies")).filter(off < F.col("__gap"))
+    last = rest.groupBy("__source").agg(F.min(F.struct(off.alias("off"), F.col("copies"), F.col("__rank"), F.col("__u"))).alias("__next"))
+    state = _of_source(state.drop("__last"), last).withColumn("__last", F.when(F.col("__next").isNotNull(), F.struct("__next.__rank", "__next.__u"))).drop("__next")
+    state = stored(state, "mixture")
     out = _ranked(full, state, most)
-    copies = F.when(F.col("__size") > 0, F.least(_copies(), F.lit(most))).otherwise(0).cast("int")
+    copies = F.when(F.col("__size") > 0, F.least(_copies(most), F.lit(most))).otherwise(0).cast("int")
     return out.select(*quoted(df.columns), "__size", "__source_size", "__target", copies.alias("__copies"))
 
 
