@@ -17,6 +17,7 @@ numbers of different words before w, and in the end 1 / (V + 1).
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -62,6 +63,7 @@ _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,16 +87,38 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, last, END), n
 
 
+def _hashed_word(word: bytes) -> np.ndarray:
+    """The hash of one word of any length: its sum is carried on from part to part."""
+    power, _ = _powers()
+    each = AT_ONCE // 4
+    total, step = 0, 1
+    for at in range(0, len(word), each):
+        a = _SMALL[np.frombuffer(word[at : at + each], np.uint8)]
+        total += int((_CODE[a] * power[: len(a)]).sum(dtype=np.uint64)) * step
+        step = step * pow(_BASE, each, 1 << 64) % (1 << 64)
+    h = _mix(np.array([total % (1 << 64)], np.uint64)) >> _u(64 - BITS)
+    return np.where(h <= END, h + _u(3), h)
+
+
 def _hashed_long(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same for texts that are hashed in parts, cut at white space where there is any."""
+    """The same for texts that are hashed in parts, cut at white space; a word longer than a part is hashed by itself."""
     out, n = [], []
     for t in texts:
         at, parts = 0, []
         while at < len(t):
             to = min(len(t), at + AT_ONCE // 4)
-            while to < len(t) and not _SPACE[t[to]] and to - at < AT_ONCE // 2:
-                to += 1
-            parts.append(hashed([t[at:to]])[0][:-1])
+            if to < len(t):
+                while to > at and not _SPACE[t[to]]:
+                    to -= 1
+            if to > at:
+                parts.append(hashed([t[at:to]])[0][:-1])
+            else:  # a word as long as a part, or white space
+                found = _WHITE.search(t, at)
+                to = found.start() if found else len(t)
+                if to > at:
+                    parts.append(_hashed_word(t[at:to]))
+                else:
+                    to += 1
             at = to
         out += [*parts, np.array([END])]
         n.append(sum(map(len, parts)) + 1)
