@@ -123,12 +123,13 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_rows_per_language: int = 4000) -> Model:
     """Learns from the rows of df with text and language.
 
-    The n-grams of about max_rows_per_language rows of each language are counted
-    (chosen by a hash of the text); what reaches the driver is bounded by
+    The n-grams of about max_rows_per_language different texts of each language
+    are counted, once each (chosen by a hash of the text; all, if there are no more); what reaches the driver is bounded by
     languages x n-gram buckets.  More than 400 languages are an error.
     """
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    place = F.xxhash64("text", F.lit(10))
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -138,7 +139,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_rows_per_lang
     for x in languages:
         if sizes[x] > max_rows_per_language:
             share = F.when(F.col("lang") == x, F.lit(max_rows_per_language / sizes[x])).otherwise(share)
-    chosen = rows.filter((F.shiftrightunsigned(F.xxhash64("text", F.lit(10)), 11).cast("double") / F.lit(float(1 << 53))) < share)
+    chosen = rows.filter((F.shiftrightunsigned(place, 11).cast("double") / F.lit(float(1 << 53))) < share).distinct()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 2 * BUCKETS + len(SCRIPTS) + 1
