@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as pipeline
-from waymark.llm import shingles
+from waymark.llm import similar
 from waymark.llm.components import forest
 
 
@@ -51,7 +51,7 @@ def test_near_stage_finds_all_similar_pairs(spark):
     got = pipeline.near(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(kept)
-    assert shingles.near_dedup(docs.limit(0)).count() == 0
+    assert similar.near_dedup(docs.limit(0)).count() == 0
 
 
 def test_rows_without_id_stay_and_link(spark):
@@ -59,4 +59,38 @@ def test_rows_without_id_stay_and_link(spark):
     a, b, c = " ".join(w), " ".join([*w[:-6], *"uvwxyz"]), " ".join([*"uvwxyz", *w[6:-6], *"uvwxyz"])
     docs = spark.createDataFrame([(2, a), (None, b), (1, c), (3, "else"), (3, "else")], "doc_id long, text string")
     assert slow([(2, a), (9, b), (1, c)])[1] == [(1, 0), (2, 1)]
-    assert sorted(str(r["doc_id"]) for r in shingles.near_dedup(docs).collect()) == ["1", "3", "3", "None"]
+    assert sorted(str(r["doc_id"]) for r in similar.near_dedup(docs).collect()) == ["1", "3", "3", "None"]
+
+
+def test_large_keys_are_cut_into_blocks(spark, monkeypatch):
+    """Two blocks or more for most keys: what the blocks leave apart is found across them."""
+    monkeypatch.setattr(similar, "USUAL", 32)
+    monkeypatch.setattr(similar, "SPLIT", 24)
+    rows = corpus(8)
+    kept, pairs = slow(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    assert sorted(r["doc_id"] for r in similar.near_dedup(docs).collect()) == sorted(kept) and len(pairs) > 200
+
+
+def test_fingerprints_by_bit():
+    texts = [b"a b c d e f g", b"a b c d e f h i j k", b"x", b"q " * 2000 + b"r s t u v w"]
+    h, n = similar.shingled([*texts, b" "], 5)
+    assert n.tolist() == [3, 6, 1, 7, 0]
+    got = similar.fingerprints(h, n[:4])
+    at = 0
+    for k, m in enumerate(n[:4].tolist()):
+        bits = []
+        for seed in similar._SEEDS[: similar.WORDS]:
+            for byte in np.ascontiguousarray(similar.ngram_lm._mix(h[at : at + m] ^ seed)).view(np.uint8).reshape(m, 8).T.tolist():
+                bits += [int(2 * sum(x >> (7 - i) & 1 for x in byte) > m) for i in range(8)]
+        assert np.unpackbits(got[k]).tolist() == bits
+        at += m
+
+
+def test_tries_meet_as_often_as_they_say():
+    """Pairs that differ in each bit by the chance of the least similarity: at most MISS of them meet nowhere."""
+    t = similar.Tries.of(1_000_000, 0.8)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    x = np.packbits(np.random.default_rng(1).random((20_000, 64 * similar.WORDS)) < p, axis=1).view(np.uint64)
+    met = t.met_before(x, np.full(len(x), len(t.paths))) & (np.bitwise_count(x).sum(axis=1) <= t.errors)
+    assert (~met).mean() < 2 * similar.MISS

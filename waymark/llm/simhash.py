@@ -64,27 +64,26 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 4, column: str
     return named(map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType())])), **{column: "__fp"})
 
 
-def trie_join(key: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
-    """Spanning forest of the links between distinct fingerprints of one key: for each the place of the smallest it is linked with.
+def traverse(key: np.ndarray, path: np.ndarray, budget: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places a < b of pairs of one key whose paths differ in at most budget[d] of the first d bits, at each depth that is walked.
 
-    key is ascending and fp (unsigned) ascending within a key; a key is the
-    upper part of the path into its trie.
+    key is ascending and path (unsigned) ascending within a key.  Pairs of nodes
+    with few paths below them are not walked any further: their pairs all come out.
     """
-    n = len(fp)
-    root = np.arange(n)
+    n = len(path)
     if not n:
-        return root
+        return
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     last = np.append(first[1:], n)
     zeros = {}
 
     def middle(low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
         if depth not in zeros:
-            bit = (fp >> np.uint64(63 - depth)) & np.uint64(1)
+            bit = (path >> np.uint64(63 - depth)) & np.uint64(1)
             zeros[depth] = np.concatenate([[0], np.cumsum(bit == 0)])
         return low + zeros[depth][high] - zeros[depth][low]
 
-    # nodes are ranges low..high of fp; all pairs in a piece have the same depth
+    # nodes are ranges low..high of path; all pairs in a piece have the same depth
     many = last - first > 1
     todo = [(0, first[many], last[many], first[many], last[many], np.zeros(many.sum(), np.int8))]
     while todo:
@@ -96,14 +95,10 @@ def trie_join(key: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
             continue
         leaf = ((ah - al) * (bh - bl) <= 16) | (depth == 64)
         if leaf.any():
-            a, b = _pairs(al[leaf], ah[leaf], bl[leaf], bh[leaf])
-            ok = a < b
-            a, b = a[ok], b[ok]
-            ok = root[a] != root[b]
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fp[a] ^ fp[b]) <= errors
-            if ok.any():
-                root = forest(n, a[ok], b[ok], root)
+            for x in _few(al[leaf], ah[leaf], bl[leaf], bh[leaf]):
+                a, b = _pairs(*x)
+                ok = a < b
+                yield a[ok], b[ok]
             keep = ~leaf
             al, ah, bl, bh, off = al[keep], ah[keep], bl[keep], bh[keep], off[keep]
         if not len(al):
@@ -112,11 +107,40 @@ def trie_join(key: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
         same = al == bl
         parts = [(al, am, bl, bm, off), (am, ah, bm, bh, off), (al, am, bm, bh, off + 1), (am[~same], ah[~same], bl[~same], bm[~same], off[~same] + 1)]
         al, ah, bl, bh, off = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ok = (al < ah) & (bl < bh) & (off <= errors)
+        ok = (al < ah) & (bl < bh) & (off <= budget[depth + 1])
         todo.append((depth + 1, al[ok], ah[ok], bl[ok], bh[ok], off[ok].astype(np.int8)))
+
+
+def trie_join(key: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
+    """Spanning forest of the links between distinct fingerprints of one key: for each the place of the smallest it is linked with.
+
+    key is ascending and fp (unsigned) ascending within a key; a key is the
+    upper part of the path into its trie.
+    """
+    root = np.arange(len(fp))
+    for a, b in traverse(key, fp, np.full(65, errors)):
+        ok = root[a] != root[b]
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fp[a] ^ fp[b]) <= errors
+        if ok.any():
+            root = forest(len(fp), a[ok], b[ok], root)
     return root
 
 
+def _few(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of ranges in pieces that hold about 4 x AT_ONCE pairs of places; a pair of long ranges is cut."""
+    size = (ah - al) * (bh - bl)
+    whole = size <= AT_ONCE
+    for i in np.flatnonzero(~whole).tolist():
+        step = max(1, AT_ONCE // int(bh[i] - bl[i]))
+        for low in range(int(al[i]), int(ah[i]), step):
+            yield np.array([low]), np.array([min(low + step, int(ah[i]))]), bl[i : i + 1], bh[i : i + 1]
+    al, ah, bl, bh, size = (x[whole] for x in (al, ah, bl, bh, size))
+    piece = np.cumsum(size) // (4 * AT_ONCE)
+    for s in np.split(np.arange(len(size)), np.flatnonzero(piece[1:] != piece[:-1]) + 1) if len(size) else []:
+        yield al[s], ah[s], bl[s], bh[s]
+
+
 def _pairs(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of places from two ranges each."""
     na, nb = ah - al, bh - bl
