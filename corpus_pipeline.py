@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, exact_dedup, langid, mixing, shingles
+from waymark.llm import bpe, exact_dedup, langid, mixing, similar
 from waymark.llm._shared import quoted, stored
 from waymark.llm.queries import byte_bpe
 
@@ -32,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of texts linked by a similarity of 0.8 or more (shingles of five words) the document with the smallest doc_id."""
-    return shingles.near_dedup(docs)
+    return similar.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
