@@ -14,8 +14,12 @@ source's words nearest to the target.
 
 No source is sorted as a whole: words are summed by (source, slice of rank),
 and only the documents in the one slice where the target is reached are put in
-order.  A pass goes from there up to the next document that has to be skipped;
-what is kept by source is one row with the bounds of its passes.
+order.  A pass goes from there up to the first document that has to be skipped.
+What is still missing is less than that document then, and is filled from lists of the
+next LISTED documents of each size class (powers of two): documents are taken in order as
+long as they fit, up to where a list that could still fit ends, and then the
+next lists are made, or another pass.  What is kept by source is one row with the
+bounds of its passes and the documents that filled it up.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from waymark.llm._shared import named, quoted, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLICES = 1 << 14
+LISTED = 64
+PLACE, LISTED_PLACE = "struct<rank: double, u: double>", "struct<rank: double, u: double, size: bigint, class: int, k: int>"
 PASS = "struct<from: double, from_u: double, to: double, to_u: double, room: double>"
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -72,7 +78,7 @@ def _ranked(rows: DataFrame, state: DataFrame, most: float) -> DataFrame:
 
 
 def _copies(most: int) -> Column:
-    """How often a document is taken: its whole copies, and one for each pass that took it, up to most."""
+    """How often a document is taken: its whole copies, one for each pass that took it and one for each time it filled up, up to most."""
     rank, u = F.col("__rank"), F.col("__u")
 
     def one(n: Column, x: Column) -> Column:
@@ -81,7 +87,14 @@ def _copies(most: int) -> Column:
         return n + F.coalesce(beyond & upto & (F.col("__size") <= x["room"]) & (n < most), F.lit(False)).cast("long")
 
     taken = F.aggregate("__passes", F.col("__whole").cast("long"), one)
-    return taken + F.coalesce((rank == F.col("__last.__rank")) & (u == F.col("__last.__u")) & (taken < most), F.lit(False)).cast("long")
+    return F.least(F.lit(most).cast("long"), taken + F.size(F.filter("__filled", lambda x: F.coalesce((rank == x["rank"]) & (u == x["u"]), F.lit(False)))))
+
+
+def _beyond(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """The documents of open sources that come next in order and would fit by themselves."""
+    rank, u = F.col("__rank"), F.col("__u")
+    rows = _ranked(slim, state.filter("not __done"), most).filter(((rank > F.col("__from")) | ((rank == F.col("__from")) & (u > F.col("__from_u")))) & (F.col("__size") <= F.col("__gap")))
+    return rows.filter(_copies(most) < most)
 
 
 def _pass(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
@@ -91,9 +104,8 @@ def _pass(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
     last document the order begins anew, unless nothing has fitted since it last did: then the source is done.
     """
     by_source = Window.partitionBy("__source")
-    rank, u = F.col("__rank"), F.col("__u")
-    open_ = _ranked(slim, state.filter("not __done"), most).filter(((rank > F.col("__from")) | ((rank == F.col("__from")) & (u > F.col("__from_u")))) & (F.col("__size") <= F.col("__gap")))
-    rows = open_.filter(_copies(most) < most).withColumn("slice", F.floor(rank * SLICES))
+    rank = F.col("__rank")
+    rows = _beyond(slim, state, most).withColumn("slice", F.floor(rank * SLICES))
     slices = rows.groupBy("__source", "slice").agg(F.sum("__size").alias("words"), F.first("__gap").alias("gap"))
     so_far = F.sum("words").over(by_source.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.withColumn("before", F.coalesce(so_far, F.lit(0))).filter("before <= gap")
@@ -120,6 +132,42 @@ def _pass(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
     return state.withColumns(new).drop("at_slice", "before", "to", "over")
 
 
+def _fill(slim: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """state after documents have been taken one by one, in order, as long as they fit, up to the end of a list that could go on.
+
+    Rows that repeat a document are taken together or not at all.
+    """
+    rank, u = F.col("__rank").alias("rank"), F.col("__u").alias("u")
+    rows = _beyond(slim, state, most).groupBy("__source", rank, u, F.col("__size").alias("one")).agg(F.sum("__size").alias("size"))
+    rows = rows.withColumn("class", F.length(F.bin("one")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("__source", "class").orderBy("rank", "u"))).filter(F.col("k") <= LISTED)
+    # at most LISTED documents for each power of two
+    lists = rows.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("rank", "u", "size", "class", "k"))).alias("list"))
+    state = _of_source(state, stored(lists, "lists"))
+    start = F.struct(F.col("__gap").alias("gap"), F.expr(f"cast(array() as array<{PLACE}>)").alias("filled"), F.expr(f"cast(null as {PLACE})").alias("end"))
+
+    def take(s: Column, x: Column) -> Column:
+        place = F.struct(x["rank"].alias("rank"), x["u"].alias("u"))
+        fits = x["size"] <= s["gap"]
+        gap = F.when(fits, s["gap"] - x["size"]).otherwise(s["gap"])
+        # the last of a full list, and more of its size could still fit
+        over = (x["k"] == LISTED) & (F.pow(F.lit(2.0), x["class"] - 1) <= gap)
+        return F.when(s["end"].isNotNull(), s).otherwise(F.struct(gap.alias("gap"), F.when(fits, F.array_append(s["filled"], place)).otherwise(s["filled"]).alias("filled"), F.when(over, place).alias("end")))
+
+    state = state.withColumn("new", F.aggregate(F.coalesce("list", F.expr(f"cast(array() as array<{LISTED_PLACE}>)")), start, take))
+    took = F.col("__took") | (F.size("new.filled") > 0)
+    done = F.col("new.end").isNull() & ~took
+    columns = {
+        "__done": F.col("__done") | done,
+        "__took": took & F.col("new.end").isNotNull(),
+        "__filled": F.concat("__filled", "new.filled"),
+        "__gap": F.col("new.gap"),
+        "__from": F.coalesce("new.end.rank", F.lit(-1.0)),
+        "__from_u": F.coalesce("new.end.u", F.lit(-1.0)),
+    }
+    return state.withColumns(columns).drop("list", "new")
+
+
 def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, fraction: float = 1.0, most: int = 3, seed: int = 20, weight: str | None = None) -> DataFrame:
     """df with columns size, source_size, target and copies (how often the mix takes the row).
 
@@ -142,17 +190,20 @@ def _mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     targets = stored(_targets(slim, weights, fraction, most), "targets")
     certain = _ranked(slim, targets, most).groupBy("__source").agg(F.sum(F.col("__whole") * F.col("__size")).alias("__certain"))
     state = _of_source(targets, certain).withColumn("__gap", F.col("__target") - F.col("__certain")).drop("__certain")
-    state = state.withColumns({"__passes": F.expr(f"cast(array() as array<{PASS}>)"), "__from": F.lit(-1.0), "__from_u": F.lit(-1.0), "__took": F.lit(False), "__done": F.lit(False), "__last": F.expr("cast(null as struct<__rank: double, __u: double>)")})
-    state = stored(state, "mixture")
+    state = state.withColumns({"__passes": F.expr(f"cast(array() as array<{PASS}>)"), "__filled": F.expr(f"cast(array() as array<{PLACE}>)"), "__from": F.lit(-1.0), "__from_u": F.lit(-1.0), "__took": F.lit(False), "__done": F.lit(False)})
+    state, whole = stored(state, "mixture"), True
     while not state.filter("not __done").isEmpty():
-        state = stored(_pass(slim, state, most), "mixture")
+        if whole:
+            state = stored(_pass(slim, state, most), "mixture")
+        state = stored(_fill(slim, state, most), "mixture")
+        whole = not state.filter("not __done and __from >= 0").isEmpty()
     # the last place
     off = F.abs(F.col("__size") - F.col("__gap"))
     rest = _ranked(slim, state, most).withColumn("copies", _copies(most)).filter(F.col("__rank").isNotNull() & (F.col("__size") < 2 * F.col("__gap")) & (F.col("copies") < most))
     rest = rest.groupBy("__source", "__rank", "__u", "__gap").agg(F.sum("__size").alias("__size"), F.min("copies").alias("copies")).filter(off < F.col("__gap"))
-    last = rest.groupBy("__source").agg(F.min(F.struct(off.alias("off"), F.col("copies"), F.col("__rank"), F.col("__u"))).alias("__next"))
-    state = _of_source(state.drop("__last"), last).withColumn("__last", F.when(F.col("__next").isNotNull(), F.struct("__next.__rank", "__next.__u"))).drop("__next")
-    state = stored(state, "mixture")
+    last = rest.groupBy("__source").agg(F.min(F.struct(off.alias("off"), F.col("copies"), F.col("__rank").alias("rank"), F.col("__u").alias("u"))).alias("__next"))
+    state = _of_source(state, last)
+    state = stored(state.withColumn("__filled", F.when(F.col("__next").isNotNull(), F.array_append("__filled", F.struct("__next.rank", "__next.u"))).otherwise(F.col("__filled"))).drop("__next"), "mixture")
     out = _ranked(full, state, most)
     copies = F.when(F.col("__size") > 0, F.least(_copies(most), F.lit(most))).otherwise(0).cast("int")
     return out.select(*quoted(df.columns), "__size", "__source_size", "__target", copies.alias("__copies"))
