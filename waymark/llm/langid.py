@@ -27,6 +27,8 @@ from waymark.llm._shared import map_arrow, named
 BUCKETS = 1 << 15
 #: Characters that are worked on at once.
 AT_ONCE = 1 << 19
+#: Scores (letters x languages) that are held at once.
+CELLS = 1 << 23
 MAX_LANGUAGES = 400
 NEVER = np.float32(-1e4)
 
@@ -52,21 +54,22 @@ SCRIPTS = {
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case letter (0: no letter), and the number of its script (0: other)."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter or the mark (0: neither), whether it is a mark, and the number of its script (0: other)."""
     top = 0x110000
-    lower = np.zeros(top, np.uint32)
-    for c in range(0x32000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M":
-            small = chr(c).lower()
+    lower, mark = np.zeros(top, np.uint32), np.zeros(top, bool)
+    for c in range(top):
+        x = chr(c)
+        if x.isalpha():
+            small = x.lower()
             lower[c] = ord(small) if len(small) == 1 else c
+        elif unicodedata.category(x)[0] == "M":
+            lower[c], mark[c] = c, True
     script = np.zeros(top, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
             script[a : b + 1] = k
-    return lower, script
+    return lower, mark, script
 
 
 @dataclass
@@ -84,12 +87,16 @@ class Grams:
 
 
 def grams(texts: list[str]) -> Grams:
-    lower, scripts = _tables()
+    lower, marks, scripts = _tables()
     joined = "\n".join(texts) + "\n"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     offset = np.cumsum(lengths) - lengths
     c = lower[raw]
+    mark = marks[raw]
+    if mark.any():  # a mark belongs to the letter before it; without one it is nothing
+        base = np.maximum.accumulate(np.where(mark, 0, np.arange(len(raw))))
+        c[mark & ((c[base] == 0) | mark[base])] = 0
     letter = c > 0
     before = np.concatenate([[False], letter[:-1]])
     starts, ends = np.flatnonzero(letter & ~before), np.flatnonzero(before & ~letter)
@@ -166,10 +173,33 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_rows_per_lang
 
 
 def viterbi(score: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
-    """The label of each word on the best path of its text; score: words x labels, doc ascending."""
+    """The label of each word on the best path of its text; score: words x labels, doc ascending.
+
+    A word whose best label beats all others by more than two changes cost has that label
+    on every best path.  It ends one stretch of words and begins the next, so that
+    a text of any length falls into short stretches that are worked on side by side.
+    """
+    n, k = score.shape
+    if not n or k < 2:
+        return np.zeros(n, np.int64)
+    last_two = np.partition(score, k - 2, axis=1)[:, k - 2 :]
+    sure = last_two[:, 1] - last_two[:, 0] > 2 * penalty
+    inner = np.flatnonzero(sure[1:-1] & (doc[1:-1] == doc[:-2]) & (doc[1:-1] == doc[2:])) + 1
+    twice = np.insert(np.arange(n), inner, inner)
+    part = np.zeros(len(twice), np.int64)
+    part[inner + 1 + np.arange(len(inner))] = 1  # the second of the two begins a stretch
+    part[1:] += doc[twice[1:]] != doc[twice[:-1]]
+    own = score[twice]
+    fixed = sure[twice]
+    own[fixed] = np.where(own[fixed] == own[fixed].max(axis=1, keepdims=True), own[fixed], NEVER)
+    out = np.empty(n, np.int64)
+    out[twice] = _paths(own, np.cumsum(part), penalty)
+    return out
+
+
+def _paths(score: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi() of stretches (doc), word after word."""
     n, k = score.shape
-    if not n:
-        return np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
@@ -200,6 +230,18 @@ def viterbi(score: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def _word_scores(g: Grams, model: Model) -> np.ndarray:
+    """Words x languages; letters are worked on in slices, as a text may be long and languages many."""
+    first = np.append(np.searchsorted(g.scored, g.starts), len(g.scored))
+    each = max(1, CELLS // len(model.languages))
+    cuts = np.append(np.flatnonzero(np.diff(first[:-1] // each, prepend=-1)), len(g.starts))
+    out = np.empty((len(g.starts), len(model.languages)), np.float32)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = slice(first[a], first[b])
+        out[a:b] = np.add.reduceat(model.two[g.two[own]] + model.three[g.three[own]], first[a:b] - first[a], axis=0)
+    return out
+
+
 def label(texts: list[str | None], model: Model, penalty: float) -> tuple[list[str], np.ndarray, list[list[dict]]]:
     """For each text its language, the share of its letters in that language, and its spans."""
     langs, shares, spans = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
@@ -208,8 +250,7 @@ def label(texts: list[str | None], model: Model, penalty: float) -> tuple[list[s
         g = grams([t or "" for t in texts[a:b]])
         if not len(g.starts) or not k:
             continue
-        letters = model.two[g.two] + model.three[g.three]
-        score = np.add.reduceat(letters, np.searchsorted(g.scored, g.starts), axis=0)
+        score = _word_scores(g, model)
         fits = model.candidate[g.script]
         score = np.where(fits | ~fits.any(axis=1, keepdims=True), score, NEVER)
         labels = viterbi(score - score.max(axis=1, keepdims=True), g.doc, penalty)
