@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -115,6 +116,27 @@ def test_large_differences_are_peeled(spark):
     assert {r["near"] for r in iblt.compare(df.withColumn("b", F.lit(None).cast("array<bigint>")), {"near": ("a", "b")}).collect()} == {0.0}
 
 
+def test_many_differing_paragraphs_take_no_longer_than_their_number(spark):
+    """Time in proportion: what took minutes for 8,000 lines takes seconds for 100,000."""
+    lines = lambda k, n: "\n".join(f"{k} line {i}" for i in range(n))
+    rows = [(1, lines("a", 100_000)), (2, lines("b", 8000)), (3, lines("b", 8000) + "\nmore"), (4, lines("c", 20_000))]
+    start = time.monotonic()
+    got = {r["doc_id"]: r for r in iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - start < 60
+    texts, order = dict(rows), [4, 3, 2, 1]
+    for i, d in enumerate(order):
+        after = texts[order[(i + 1) % 4]]
+        half = len(texts[d]) // 2
+        edited = texts[d][: len(texts[d]) - half] + after[:half]
+        assert abs(got[d]["near_next"] - like(paragraphs(texts[d]), paragraphs(after))) < 1e-12
+        assert abs(got[d]["near_edited"] - like(paragraphs(texts[d]), paragraphs(edited))) < 1e-12
+
+
+def test_pairs_named_like_columns_of_the_table(spark):
+    df = spark.sql("select array(1L, 2L) a, array(2L, 3L) b, 'old' near")
+    assert [r["near"] for r in iblt.compare(df, {"near": ("a", "b")}).collect()] == [1 / 3]
+
+
 def test_one_row_is_its_own_next(spark):
     r = iblt.fingerprints(spark.createDataFrame([(4, "ab\ncd")], "doc_id long, text string")).first()
     assert (r["near_next"], r["n_chars"]) == (1.0, 5) and r["edited_sha256"] == hashlib.sha256(b"ab\nab").hexdigest()

@@ -6,8 +6,12 @@ its digests and that of their check values.  Subtracting two documents' tables
 cancels what they share.  Peeling then recovers the differing digests: a cell
 with count 1 or -1 whose check value fits holds a single digest, which is taken
 out of its other cells, and so on.  If something is left over, both tables are
-made again four times as large: the digests are dealt by a hash to as many
-groups, each with cells of its own, and peeled group by group.
+made again LARGER times as large.
+
+A table is an array of the cells that hold something, in order.  Adding,
+subtracting and peeling append signed entries and merge those of one cell, so
+that the work follows the number of digests, whatever the size of the table.  The
+first table of a pair has room for all digests of both documents.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from waymark.llm._shared import partitions, stored
 from waymark.llm.native import let
 
 PIECE = 200
-#: Cells in each third of a group, rounds of peeling, how much larger the next try is, and tries.
-THIRD, ROUNDS, LARGER, TRIES = 12, 10, 4, 12
-CELLS = 3 * THIRD
+#: Cells in each third of a fingerprint and of the smallest table, rounds of peeling, how much larger the next try is, and tries.
+THIRD, ROUNDS, LARGER, TRIES = 12, 60, 4, 12
 CHECK_SEED = 77
 CHECK_BITS = 0xFFFFFFFF
 
@@ -34,70 +37,73 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
-def placed(keys: Column, level: int) -> Column:
-    """Digests with their place hash at a level and their check value."""
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(level)).alias("p"), F.xxhash64(k, F.lit(CHECK_SEED)).bitwiseAND(F.lit(CHECK_BITS)).alias("h")))
+def _check(k: Column) -> Column:
+    return F.xxhash64(k, F.lit(CHECK_SEED)).bitwiseAND(F.lit(CHECK_BITS))
+
+
+def _entry(k: Column, c: Column, h: Column, third: Column, level: int, i: int) -> Column:
+    """What a digest k adds, c times, to its cell in third i of a table."""
+    return F.struct((F.pmod(F.xxhash64(k, F.lit(3 * level + i)), third) + third * i).alias("at"), c.alias("c"), k.alias("k"), h.alias("h"))
+
 
+def _merged(entries: Column) -> Column:
+    """The cells that entries (at, c, k, h) add up to; what has become empty is left out."""
 
-def _places(p: Column) -> list[Column]:
-    return [(F.pmod(F.shiftright(p, 20 * i), F.lit(THIRD)) + i * THIRD).cast("int") for i in range(3)]
+    def sums(sorted_: Column) -> Column:
+        changes = F.filter(F.transform(sorted_, lambda x, i: F.when((i == 0) | (x["at"] != F.get(sorted_, i - 1)["at"]), i)), lambda i: i.isNotNull())
 
+        def cell(starts: Column, s: Column, j: Column) -> Column:
+            add = lambda x, y: F.struct(y["at"].alias("at"), (x["c"] + y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+            end = F.coalesce(F.get(starts, j + 1), F.size(sorted_))
+            # by place: a slice would copy the whole array first
+            return F.when(end == s + 1, F.get(sorted_, s)).otherwise(F.aggregate(F.sequence(s + 1, end - 1), F.get(sorted_, s), lambda x, i: add(x, F.get(sorted_, i))))
 
-def cells(keys: Column) -> Column:
-    """The cells (c, k, h) of placed digests."""
-    own = F.transform(keys, lambda x: F.struct(x["k"], x["h"], F.array(*_places(x["p"])).alias("at")))
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        return let(changes, lambda starts: F.transform(starts, lambda s, j: cell(starts, s, j)))
 
-    def cell(a: Column, i: Column) -> Column:
-        add = lambda s, x: F.when(F.array_contains(x["at"], i), F.struct((s["c"] + 1).alias("c"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["h"].bitwiseXOR(x["h"]).alias("h"))).otherwise(s)
-        return F.aggregate(a, zero, add)
+    return F.filter(let(F.sort_array(entries), sums), lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
-    return let(own, lambda a: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: cell(a, i)))
+
+def cells(keys: Column, third: Column, level: int = 0, sign: int = 1) -> Column:
+    """The table (at, c, k, h) of a set of digests; with sign -1 as it is subtracted."""
+    entries = F.flatten(F.transform(keys, lambda k: F.array(*(_entry(k, F.lit(sign), _check(k), third, level, i) for i in range(3)))))
+    return _merged(entries)
 
 
 def sketch(keys: Column) -> Column:
-    """A document's fingerprint as text: the number of its digests and the cells of one group."""
+    """A document's fingerprint as text: the number of its digests and the cells of a table of 3 * THIRD."""
     row = lambda x: F.concat(F.lpad(F.hex(x["c"].cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 8, "0"))
-    return F.base64(F.unhex(F.concat(F.lpad(F.hex(F.size(keys).cast("long")), 8, "0"), F.array_join(F.transform(cells(placed(keys, 0)), row), ""))))
+    own = cells(keys, F.lit(THIRD).cast("long"))
+    # cells in order, with zeros for the empty ones
+    blank = "0" * 28
+    wide = let(own, lambda a: let(F.transform(a, lambda x: x["at"]), lambda at: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3 * THIRD - 1).cast("long")), lambda i: F.coalesce(row(F.get(a, F.array_position(at, i).cast("int") - 1)), F.lit(blank)))))
+    return F.base64(F.unhex(F.concat(F.lpad(F.hex(F.size(keys).cast("long")), 8, "0"), F.array_join(wide, ""))))
 
 
-def _peeled(diff: Column, level: int) -> Column:
-    """What peeling a difference of cells recovers: ok, digests only left, digests only right."""
-    lost = lambda s, p: F.struct((s["c"] - p["c"]).alias("c"), s["k"].bitwiseXOR(p["k"]).alias("k"), s["h"].bitwiseXOR(p["h"]).alias("h"))
+def _peeled(diff: Column, third: Column, level: int) -> Column:
+    """What peeling a difference of tables recovers: ok, how many digests are only left and only right."""
 
-    def pure(state: Column) -> Column:
-        alone = F.filter(state, lambda x: (F.abs(x["c"]) == 1) & (F.xxhash64(x["k"], F.lit(CHECK_SEED)).bitwiseAND(F.lit(CHECK_BITS)) == x["h"]))
-        return F.array_distinct(F.transform(alone, lambda x: F.struct(x["c"], x["k"], x["h"], F.array(*_places(F.xxhash64(x["k"], F.lit(level)))).alias("at"))))
+    def pure(table: Column) -> Column:
+        alone = F.filter(table, lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
+        found = F.sort_array(F.transform(alone, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), x["h"].alias("h"))))
+        return let(found, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["k"] != F.get(a, i - 1)["k"])))
 
     def step(s: Column, _: Column) -> Column:
         def taken(found: Column) -> Column:
-            rest = F.transform(s["cells"], lambda x, i: F.aggregate(found, x, lambda y, p: F.when(F.array_contains(p["at"], i), lost(y, p)).otherwise(y)))
+            out = F.flatten(F.transform(found, lambda p: F.array(*(_entry(p["k"], -p["c"], p["h"], third, level, i) for i in range(3)))))
             count = lambda sign: F.size(F.filter(found, lambda p: p["c"] == sign))
-            return F.when(F.size(found) == 0, F.struct(s["cells"].alias("cells"), s["a"].alias("a"), s["b"].alias("b"), F.lit(True).alias("over"))).otherwise(F.struct(rest.alias("cells"), (s["a"] + count(1)).alias("a"), (s["b"] + count(-1)).alias("b"), F.lit(False).alias("over")))
+            return F.when(F.size(found) == 0, F.struct(s["cells"].alias("cells"), s["a"].alias("a"), s["b"].alias("b"), F.lit(True).alias("over"))).otherwise(F.struct(_merged(F.concat(s["cells"], out)).alias("cells"), (s["a"] + count(1)).alias("a"), (s["b"] + count(-1)).alias("b"), F.lit(False).alias("over")))
 
-        return F.when(s["over"], s).otherwise(let(pure(s["cells"]), taken))
+        return F.when(s["over"] | (F.size(s["cells"]) == 0), s).otherwise(let(pure(s["cells"]), taken))
 
     start = F.struct(diff.alias("cells"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("over"))
-    done = lambda s: F.struct(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)).alias("ok"), s["a"].alias("a"), s["b"].alias("b"))
+    done = lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["a"].alias("a"), s["b"].alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, done)
 
 
 def difference(left: Column, right: Column, level: int) -> Column:
-    """ok, and how many digests are only in the left or right set, by tables of LARGER ** level groups; not ok if one can't be peeled."""
-    groups = LARGER**level
-
-    def group(a: Column, b: Column, g: Column | None) -> Column:
-        own = lambda keys: cells(keys if g is None else F.filter(keys, lambda x: F.pmod(x["h"], F.lit(groups)) == g))
-        minus = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
-        return _peeled(F.zip_with(own(a), own(b), minus), level)
-
-    def every(ab: Column) -> Column:
-        if groups == 1:
-            return group(ab["a"], ab["b"], None)
-        add = lambda s, g: F.when(s["ok"], let(group(ab["a"], ab["b"], g), lambda r: F.struct(r["ok"].alias("ok"), (s["a"] + r["a"]).alias("a"), (s["b"] + r["b"]).alias("b")))).otherwise(s)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(groups - 1)), F.struct(F.lit(True).alias("ok"), F.lit(0).alias("a"), F.lit(0).alias("b")), add)
-
-    return let(F.struct(placed(left, level).alias("a"), placed(right, level).alias("b")), every)
+    """ok, and how many digests are only in the left or right set, by tables of the try `level`; not ok if the difference can't be peeled."""
+    room = F.greatest(F.lit(THIRD), F.ceil((F.size(left) + F.size(right)) / 2)).cast("long") * LARGER**level
+    return let(room, lambda third: _peeled(_merged(F.concat(cells(left, third, level), cells(right, third, level, -1))), third, level))
 
 
 def likeness(n_left: Column, n_right: Column, d: Column) -> Column:
@@ -114,12 +120,13 @@ def _by_peeling(a: Column, b: Column, level: int) -> Column:
 def compare(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """df with a likeness column for each pair of columns of digests.
 
-    Rows whose tables can't be peeled go on to larger ones until none is left;
+    Rows whose tables can't be peeled go on to larger ones until none is left; columns
+    of df named like the new ones are replaced;
     should some remain after TRIES tries (digests that meet in all their cells
     at every size), their sets are compared as they are.  Null digests count as
     an empty set.
     """
-    rows = df.select("*", *(F.lit(None).cast("double").alias(p) for p in pairs))
+    rows = df.drop(*pairs).select("*", *(F.lit(None).cast("double").alias(p) for p in pairs))
     open_ = lambda: reduce(lambda a, b: a | b, (F.col(p).isNull() for p in pairs))
     keys = lambda c: F.coalesce(F.col(c), F.expr("cast(array() as array<bigint>)"))
     done = []
@@ -164,9 +171,11 @@ def with_next(df: DataFrame, doc_id: str, columns: list[str], ranges: int | None
     heads = stored(rows.groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "heads")
     of_head = rows.join(heads.select("part", F.col("doc_id").alias("head_id")), "part").filter(F.col("doc_id").eqNullSafe(F.col("head_id")))
     first = of_head.groupBy("part").agg(F.max(F.struct(*columns)).alias("head"))
+    # which range a head stands behind: slim rows, one for each range
     order = Window.orderBy(F.desc("part"))
-    following = F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ends = first.select("part", following.alias("head")).select(F.lit(None).cast("long").alias("doc_id"), *(F.col(f"head.{c}").alias(c) for c in columns), "part")
+    before = F.coalesce(F.lag("part").over(order), F.last("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    place = heads.select(F.col("part").alias("own"), before.alias("before"))
+    ends = first.join(place, F.col("part") == F.col("own")).select(F.lit(None).cast("long").alias("doc_id"), *(F.col(f"head.{c}").alias(c) for c in columns), F.col("before").alias("part"))
     every = rows.withColumn("end", F.lit(False)).unionByName(ends.withColumn("end", F.lit(True)))
     within = Window.partitionBy("part").orderBy(F.asc("end"), F.col("doc_id").desc_nulls_last(), *(F.desc(c) for c in columns))
     return every.select("doc_id", *columns, *(F.lead(c).over(within).alias(f"next_{c}") for c in columns), "end").filter("not end").drop("end")
