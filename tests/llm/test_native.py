@@ -80,6 +80,18 @@ def test_given_tokens_count(spark):
     assert [(r["n_turns"], r["n_repeated"], r["n_tokens"]) for r in w] == [(2, 0, 20), (2, 1, 20), (2, 1, 20), (2, 1, 20), (2, 1, 20)]
 
 
+def test_a_long_conversation(spark):
+    """100,000 turns; memory would not do for a copy of the conversation in each of its windows."""
+    text = F.concat(F.lit("word "), F.repeat(F.col("id").cast("string"), 40))
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), text.alias("text"))
+    windows = chat.format_chats(rows)
+    assert windows.agg(F.max("n_tokens")).first()[0] <= 2048
+    back = chat.read_back(windows).select(F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("|"), t["text"])), "\n"), 256).alias("h"), F.sha2("loss_text", 256).alias("l")).first()
+    own = [("system" if i == 0 else "user" if i % 2 else "assistant", "word " + str(i) * 40) for i in range(100_000)]
+    assert back["h"] == hashlib.sha256("\n".join(f"{r}|{t}" for r, t in own).encode()).hexdigest()
+    assert back["l"] == hashlib.sha256("".join(t for r, t in own if r == "assistant").encode()).hexdigest()
+
+
 def paragraphs(text: str | None) -> set[str]:
     return set(re.findall(r"[^\n]{1,200}", text or ""))
 
