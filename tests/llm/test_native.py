@@ -159,21 +159,38 @@ def test_license_scan(spark, docs, empty):
     mit, gpl = licenses.NOTICES["MIT"][1], licenses.NOTICES["GPL-3.0"][0]
     cut = " ".join(mit.split()[:-6])
     rows = [(i, f"{filler(n, i)} {t} {filler(m, i)}") for i, (n, t, m) in enumerate([(0, mit, 0), (500, mit, 3), (37, cut, 90), (3, gpl, 200), (9, gpl.upper().replace(" ", "\n"), 9), (5, " ".join(mit.split()[:20]), 5), (7, mit + " " + filler(8, 0) + " " + gpl, 4000), (1, "Released under the MIT License.", 1)])]
-    rows += [(90, None), (91, ""), (92, "Released under the MIT"), (93, filler(30_000, 9))]
+    rows += [(90, None), (91, ""), (94, "x\nAll rights reserved. y"), (94, "all rights served"), (95, "ALL RIGHTS  reserved"), (92, "Released under the MIT"), (93, filler(30_000, 9))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["license"], r["notice"]): r["containment"] for r in licenses.scan(df).collect()}
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    grams = lambda w, n=5: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     want = {}
     for d, text in rows:
         for k, notices in licenses.NOTICES.items():
             for i, t in enumerate(notices):
-                if (share := len(grams(words(t)) & grams(words(text))) / len(grams(words(t)))) >= 0.8:
+                n = min(5, len(words(t)))
+                if (share := len(grams(words(t), n) & grams(words(text), n)) / len(grams(words(t), n))) >= 0.8:
                     want[d, k, i] = share
     assert got == want and len(want) >= 8
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0 and licenses.scan(df, {}).count() == 0
 
 
+def test_many_licenses_in_one_text_take_no_longer_than_their_number(spark):
+    mit = licenses.NOTICES["MIT"][1]
+    df = spark.createDataFrame([(1, "\n".join([mit] * 2000))], "doc_id long, text string")
+    start = time.monotonic()
+    assert [(r["license"], r["containment"]) for r in licenses.scan(df).collect()] == [("MIT", 1.0)]
+    assert time.monotonic() - start < 20
+
+
+def test_many_notices_are_joined(spark, monkeypatch):
+    rows = [(1, licenses.NOTICES["MIT"][1] + " and all rights reserved"), (1, "Licensed under CC BY 4.0."), (None, "Licensed under CC BY 4.0."), (2, "none")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, licenses.scan(df).collect()))
+    monkeypatch.setattr(licenses, "IN_PLAN", 5)
+    assert sorted(map(str, licenses.scan(df).collect())) == want and len(want) == 4
+
+
 def targets(sizes: dict, most: float = 3.0) -> dict:
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
