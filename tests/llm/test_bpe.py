@@ -94,8 +94,15 @@ def test_damage_is_found_and_size_is_near_the_entropy():
 
 def test_frequencies_add_up_with_many_rare_ids():
     t = np.concatenate([np.arange(70_000), np.zeros(10, int)]).astype("<u4")
-    _, f = rans.frequencies(t)
-    assert f.min() >= 1 and int(f.astype(np.int64).sum()) == 1 << rans.SCALE
+    _, f, scale = rans.frequencies(t)
+    assert f.min() >= 1 and int(f.astype(np.int64).sum()) == 1 << scale and scale == rans.SCALE
+
+
+def test_more_distinct_ids_than_frequencies_add_up_to(monkeypatch):
+    monkeypatch.setattr(rans, "SCALE", 8)
+    t = np.concatenate([np.arange(3000), np.zeros(5000, int), np.arange(700)]).astype("<u4")
+    ids, lengths, got = rans.unpack(rans.pack([7], np.array([len(t)], "<u4"), t))
+    assert ids == [7] and lengths.tolist() == [len(t)] and (got == t).all()
 
 
 def test_token_file(spark, docs, rows, reference, monkeypatch):

@@ -7,6 +7,9 @@ lanes' states and the place in the stream, so that every stretch between two
 checkpoints can be decoded by itself; the decoder here runs all stretches of a
 segment side by side.  A block's crc32 is over its decoded ids.
 
+Frequencies add up to 2 ** SCALE, or more for a segment of more distinct ids than
+half of that.
+
 Layout of a segment (little-endian): magic "WTS1", then unsigned 32-bit
 numbers: scale bits, lanes, steps of a full block, steps between checkpoints,
 documents, then 64-bit: tokens; then parts, each a 32-bit length and bytes:
@@ -33,19 +36,18 @@ _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
 
 
-def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and frequencies of at least 1 that add up to 1 << SCALE."""
+def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct ids, frequencies of at least 1, and the power of two that they add up to."""
     if len(tokens) and tokens.max() < WIDE:
         counts = np.bincount(tokens)
         symbols = np.flatnonzero(counts)
         counts = counts[symbols]
     else:
         symbols, counts = np.unique(tokens, return_counts=True)
-    if len(symbols) > 1 << SCALE:
-        raise ValueError(f"more than {1 << SCALE} distinct ids in one segment")
+    scale = max(SCALE, len(symbols).bit_length() + 1)
     if not len(symbols):
-        return symbols.astype("<u4"), counts.astype("<u4")
-    total = 1 << SCALE
+        return symbols.astype("<u4"), counts.astype("<u4"), scale
+    total = 1 << scale
     freq = np.maximum(1, counts * total // counts.sum())
     over = int(freq.sum()) - total
     if over < 0:
@@ -56,18 +58,18 @@ def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         take = np.minimum(take, np.maximum(0, over - (np.cumsum(take) - take)))
         freq[top] -= take
         over -= int(take.sum())
-    return symbols.astype("<u4"), freq.astype("<u4")
+    return symbols.astype("<u4"), freq.astype("<u4"), scale
 
 
-def _encode(sym: np.ndarray, freq: np.ndarray, start: np.ndarray):
+def _encode(sym: np.ndarray, freq: np.ndarray, start: np.ndarray, scale: int):
     """sym: blocks x steps x lanes, places in the table.  Gives words of each block, states and places at the checkpoints."""
     blocks, steps, lanes = sym.shape
     x = np.full((blocks, lanes), LOW)
     wrote, words = [None] * steps, [None] * steps
     checks = -(-steps // CHECK)
     states = np.empty((blocks, checks, lanes), np.uint64)
-    full = freq << np.uint64(31 - SCALE + 32)
-    shift = np.uint64(SCALE)
+    full = freq << np.uint64(31 - scale + 32)
+    shift = np.uint64(scale)
     for t in range(steps - 1, -1, -1):
         s = sym[:, t, :]
         f = freq[s]
@@ -86,10 +88,10 @@ def _encode(sym: np.ndarray, freq: np.ndarray, start: np.ndarray):
     return stream, before[-1], states, before[:-1:CHECK][:checks].T
 
 
-def _decode(states: np.ndarray, at: np.ndarray, steps: int, stream: np.ndarray, table) -> np.ndarray:
+def _decode(states: np.ndarray, at: np.ndarray, steps: int, stream: np.ndarray, table, scale: int) -> np.ndarray:
     """states: stretches x lanes; at: places of the stretches in the stream.  Gives stretches x steps x lanes."""
     of_slot, freq, start = table
-    mask, shift = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
+    mask, shift = np.uint64((1 << scale) - 1), np.uint64(scale)
     x, at = states.copy(), at.astype(np.int64).copy()
     out = np.empty((len(x), steps, x.shape[1]), np.uint32)
     for t in range(steps):
@@ -113,7 +115,7 @@ def _part(data: bytes) -> bytes:
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
     """A segment of documents whose ids stand one after the other in tokens."""
-    symbols, freq32 = frequencies(tokens)
+    symbols, freq32, scale = frequencies(tokens)
     freq = freq32.astype(np.uint64)
     start = np.cumsum(freq) - freq
     n = len(tokens)
@@ -126,12 +128,12 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) ->
     whole, rest = divmod(n, BLOCK)
     parts = []
     if whole:
-        parts.append(_encode(place[: whole * BLOCK].reshape(whole, STEPS, LANES), freq, start))
+        parts.append(_encode(place[: whole * BLOCK].reshape(whole, STEPS, LANES), freq, start, scale))
     if rest:
         steps = -(-rest // LANES)
         last = np.full(steps * LANES, int(freq.argmax()), np.int64)
         last[:rest] = place[whole * BLOCK :]
-        parts.append(_encode(last.reshape(1, steps, LANES), freq, start))
+        parts.append(_encode(last.reshape(1, steps, LANES), freq, start, scale))
     sizes = np.full(whole + bool(rest), BLOCK, "<u4")
     if rest:
         sizes[-1] = rest
@@ -141,7 +143,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) ->
     ids = np.array([d or 0 for d in doc_ids], "<i8")
     z = lambda a: _part(zlib.compress(a.tobytes(), 6))
     raws = [sizes, sums, *(np.concatenate([p[i].reshape(-1) for p in parts]).astype(kind) if parts else np.empty(0, kind) for i, kind in ((1, "<u4"), (2, "<u8"), (3, "<u4"), (0, "<u4")))]
-    return b"".join([MAGIC, struct.pack("<5IQ", SCALE, LANES, STEPS, CHECK, len(doc_ids), n), z(ids), z(none), z(lengths.astype("<u4")), z(symbols), z(freq32), *(_part(a.tobytes()) for a in raws)])
+    return b"".join([MAGIC, struct.pack("<5IQ", scale, LANES, STEPS, CHECK, len(doc_ids), n), z(ids), z(none), z(lengths.astype("<u4")), z(symbols), z(freq32), *(_part(a.tobytes()) for a in raws)])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
     scale, lanes, steps, check, docs, n = struct.unpack_from("<5IQ", data, 4)
-    if (scale, lanes, steps, check) != (SCALE, LANES, STEPS, CHECK):
+    if (lanes, steps, check) != (LANES, STEPS, CHECK) or scale > 31:
         raise ValueError("segment written with other settings")
     at, parts = 4 + struct.calcsize("<5IQ"), []
     while at < len(data):
@@ -166,10 +168,10 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     out = []
     if whole:
         k = whole * per
-        out.append(_decode(states[: k * LANES].reshape(k, LANES), (offsets[:whole, None] + places[:k].reshape(whole, per)).reshape(-1), CHECK, stream, table).reshape(-1))
+        out.append(_decode(states[: k * LANES].reshape(k, LANES), (offsets[:whole, None] + places[:k].reshape(whole, per)).reshape(-1), CHECK, stream, table, scale).reshape(-1))
     if rest := n - whole * BLOCK:
         s, own = -(-rest // LANES), states[whole * per * LANES :].reshape(-1, LANES)
-        got = [_decode(own[i : i + 1], (offsets[whole:] + places[whole * per + i])[:1], min(CHECK, s - i * CHECK), stream, table).reshape(-1) for i in range(len(own))]
+        got = [_decode(own[i : i + 1], (offsets[whole:] + places[whole * per + i])[:1], min(CHECK, s - i * CHECK), stream, table, scale).reshape(-1) for i in range(len(own))]
         out.append(np.concatenate(got)[:rest])
     tokens = symbols[np.concatenate(out)] if out else np.empty(0, "<u4")
     for i, size in enumerate(sizes):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.llm import rans
-from waymark.llm._shared import map_arrow, partitions
+from waymark.llm._shared import map_arrow, partitions, stored
 from waymark.llm.bpe import bpe
 
 SEGMENT = 1 << 22
@@ -80,13 +80,16 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "te
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """Documents of a token file: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with ids=True also token_ids (binary).
 
-    Every block's checksum is checked; a damaged one is an error.
+    Every block's checksum is checked; a damaged one is an error.  Rows come as
+    they were written: null ids, empty texts (the end id alone), texts of any length and
+    repeated rows included; a file without segments gives no rows.
     """
     table = spark.read.parquet(path)
     shards = table.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row for each file
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     starts = table.select("shard", "segment", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_tokens")).alias("before"))
-    starts = starts.join(shards, "shard").select("shard", "segment", (F.col("base") + F.col("before")).alias("start"))
+    # written down first: with its size known, so few rows go to the bodies, and not the bodies to them
+    starts = stored(starts.join(shards, "shard").select("shard", "segment", (F.col("base") + F.col("before")).alias("start")), "starts")
     rows = table.select("shard", "segment", "body").join(starts, ["shard", "segment"]).select("start", "body")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
