@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -26,3 +27,17 @@ def test_words_hash_alike_at_every_size_of_parts(monkeypatch):
     got = ngram_lm.hashed(texts)
     ngram_lm._powers.cache_clear()
     assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_a_lost_file_is_an_error(spark):
+    df = spark.createDataFrame([(1, "some words and some more")], "doc_id long, text string")
+    model = ngram_lm.fit(df, shards=2)
+    texts = ngram_lm.hashed([b"some words and none"])
+    want = ngram_lm.score_tokens(model, *texts)
+    assert len(model.pair_files) + len(model.word_files) > 1 and want[1].tolist() == [2, 1, 1, 0, 1]
+    for name, files in (("pairs", model.pair_files), ("words", model.word_files)):
+        for k in files:
+            os.remove(f"{model.folder}/{name}-{k}")
+    ngram_lm._mapped.cache_clear()
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.score_tokens(model, *texts)

@@ -38,8 +38,8 @@ _u = np.uint64
 _rng = np.random.default_rng(9)
 _CODE = _rng.integers(0, 1 << 63, 256, np.uint64)
 _BASE = int(_rng.integers(0, 1 << 62)) * 2 + 1
-#: Words are known by 48 bits; these stand for the start and the end of a text.
-BITS = 48
+#: Words are known by 63 bits (two of n different words share them with probability n ** 2 / 2 ** 64: 0.0005 at 100 million); these stand for the start and the end of a text.
+BITS = 63
 START, END = _u(1), _u(2)
 
 
@@ -67,7 +67,7 @@ _WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of all texts' words in lower case (A-Z), each text followed by END, and the texts' numbers of tokens."""
+    """Hashes of all texts' words in lower case (A-Z), each text followed by END, and the texts' numbers of tokens."""
     if any(len(t) > AT_ONCE // 2 for t in texts):
         return _hashed_long(texts)
     data = b" ".join([*texts, b""])
@@ -166,21 +166,19 @@ def _counted(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _pack(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs in order of u: steps of u and counts shrink well; w is 48 bits without any order."""
+    """Pairs in order of u: steps of u and counts shrink well; w is without any order."""
     step = np.diff(u, prepend=_u(0))
-    planes = np.concatenate([step.astype("<u8").view(np.uint8).reshape(-1, 8).T[:6].reshape(-1), c.astype("<u4").view(np.uint8).reshape(-1, 4).T.reshape(-1)])
-    small = zlib.compress(planes.tobytes(), 1)
-    return len(u).to_bytes(8, "little") + w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + small
+    planes = np.concatenate([step.astype("<u8").view(np.uint8).reshape(-1, 8).T.reshape(-1), c.astype("<u4").view(np.uint8).reshape(-1, 4).T.reshape(-1)])
+    return len(u).to_bytes(8, "little") + w.astype("<u8").tobytes() + zlib.compress(planes.tobytes(), 1)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    wide = lambda a: np.concatenate([a, np.zeros((n, 2), np.uint8)], axis=1).view("<u8").reshape(-1)
-    w = wide(np.frombuffer(data, np.uint8, 6 * n, 8).reshape(n, 6))
-    planes = np.frombuffer(zlib.decompress(data[8 + 6 * n :]), np.uint8)
-    step = wide(np.ascontiguousarray(planes[: 6 * n].reshape(6, n).T))
-    c = np.ascontiguousarray(planes[6 * n :].reshape(4, n).T).view("<u4").reshape(-1)
-    return np.cumsum(step), w, c.astype(np.int64)
+    w = np.frombuffer(data, "<u8", n, 8)
+    planes = np.frombuffer(zlib.decompress(data[8 + 8 * n :]), np.uint8)
+    step = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
+    c = np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(step, dtype=np.uint64), w, c.astype(np.int64)
 
 
 def local(path: str) -> str:
@@ -208,6 +206,8 @@ class Model:
     folder: str
     pair_shards: int
     word_shards: int
+    pair_files: frozenset[int]  #: shards that have got pairs, and so a file
+    word_files: frozenset[int]
     tokens: int  #: N
     distinct: int  #: V
     discounts: tuple[float, float, float]  #: of pairs
@@ -227,7 +227,12 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
 
 
 def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
-    """Counts all rows of df and writes the model; null texts are an end alone, an empty table gives an empty model."""
+    """Counts all rows of df and writes the model.
+
+    Null and empty texts are an end alone; repeated rows count as often as they
+    stand there; texts and words of any length are read whole; other columns are
+    not read; an empty table gives an empty model.
+    """
     spark = df.sparkSession
     s = shards or partitions(df)
     path = new_path(spark, "ngrams")
@@ -275,8 +280,9 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
                 values = [*values, *[zero] * (4 - len(values))]
                 for at in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[at : at + (1 << 16)]), kind, np.int8)), pa.array(key[at : at + (1 << 16)].astype(np.int64)), *(pa.array(v[at : at + (1 << 16)]) for v in values)], names=["kind", "key", "a", "b", "c", "d"])
-            n = np.bincount(np.minimum(c, 5), minlength=6)[1:5]  # counts of counts come as rows of a third kind
+            n = np.bincount(np.minimum(c, 5), minlength=6)[1:5]  # counts of counts come as rows of a third kind, the shard's file as one of a fourth
             yield pa.RecordBatch.from_arrays([pa.array([2] * 4, pa.int8()), pa.array([1, 2, 3, 4], pa.int64()), pa.array(n.astype(np.int64)), *[pa.array([0] * 4, pa.int64())] * 3], names=["kind", "key", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int8()), pa.array([shard], pa.int64()), *[pa.array([1], pa.int64())] * 4], names=["kind", "key", "a", "b", "c", "d"])
 
         now, pieces = None, []
         for batch in batches:
@@ -299,7 +305,11 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     sums = [x or 0 for x in sums]
     word_shards = s
 
+    pair_files = frozenset(r["key"] for r in table.filter("kind = 3").select("key").collect())  # numbers of shards
+
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = []
+
         def close(shard: int, rows: list[np.ndarray]) -> None:
             r = np.concatenate(rows)  # kind, key, a, b, c, d
             key, at = np.unique(r[:, 1], return_inverse=True)
@@ -309,6 +319,7 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
             for i in range(4):
                 out[2 + i, at[after]] = r[after, 2 + i]
             _save(folder, f"words-{shard}", key.astype("<u8"), *out.astype("<i8"))
+            done.append(shard)
 
         now, rows = None, []
         for batch in batches:
@@ -321,21 +332,19 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
                 rows.append(a[a[:, 0] == k, 1:])
         if rows:
             close(now, rows)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["done"])
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["shard"])
 
     dealt = table.filter("kind < 2").withColumn("shard", F.pmod(F.col("key"), F.lit(word_shards)).cast("int")).select("shard", "kind", "key", "a", "b", "c", "d")
-    map_arrow(dealt.repartition(word_shards, "shard").sortWithinPartitions("shard"), words, "done int").count()
+    word_files = frozenset(r["shard"] for r in map_arrow(dealt.repartition(word_shards, "shard").sortWithinPartitions("shard"), words, "shard int").collect())
     d, low = discounts(dict(zip((1, 2, 3, 4), sums[7:], strict=True))), discounts(dict(zip((1, 2, 3, 4), sums[3:7], strict=True)))
     n1, n2 = sums[3], sums[4]
     gamma = (low[0] * n1 + low[1] * n2 + low[2] * (sums[1] - n1 - n2)) / sums[2] if sums[2] else 1.0
-    return Model(folder, s, word_shards, sums[0], sums[1], d, low, sums[2], gamma)
+    return Model(folder, s, word_shards, pair_files, word_files, sums[0], sums[1], d, low, sums[2], gamma)
 
 
 @lru_cache(maxsize=4096)
 def _mapped(path: str, *kinds: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped into memory; empty ones for a shard that got nothing."""
-    if not os.path.exists(path):
-        return [np.empty(0, k) for k in kinds]
+    """The arrays of a file, mapped into memory."""
     n = int(np.fromfile(path, "<i8", 1)[0])
     at, out = 8, []
     for k in kinds:
@@ -344,15 +353,18 @@ def _mapped(path: str, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _look(folder: str, name: str, shards: int, of: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """Values of keys (0 if there is none); keys are sorted first, so that a search goes through a file once."""
+def _look(folder: str, name: str, files: frozenset[int], of: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """Values of keys (0 if there is none); keys are sorted first, so that a search goes through a file once.
+
+    A file that was written and can't be read now is an error.
+    """
     order = np.lexsort((keys, of))
     own, of = keys[order], of[order]
     out = [np.zeros(len(keys), np.int64) for _ in kinds[1:]]
-    ends = np.searchsorted(of, np.arange(shards + 1))
-    for k in range(shards):
-        a, b = ends[k], ends[k + 1]
-        if a == b:
+    here = np.unique(of)
+    ends = np.append(np.searchsorted(of, here), len(of)).tolist()
+    for k, a, b in zip(here.tolist(), ends, ends[1:], strict=False):
+        if k not in files:
             continue
         have, *values = _mapped(f"{folder}/{name}-{k}", *kinds)
         if not len(have):
@@ -368,13 +380,13 @@ def _look(folder: str, name: str, shards: int, of: np.ndarray, keys: np.ndarray,
 def score_tokens(m: Model, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probability of each token, its count in training, and its base score."""
     seen, at = np.unique(np.concatenate([tokens, [START]]), return_inverse=True)
-    c, before, follow, n1, n2, n3 = _look(m.folder, "words", m.word_shards, (seen % _u(m.word_shards)).astype(np.int64), seen, ("<u8", *["<i8"] * 6))
+    c, before, follow, n1, n2, n3 = _look(m.folder, "words", m.word_files, (seen % _u(m.word_shards)).astype(np.int64), seen, ("<u8", *["<i8"] * 6))
     w = at[:-1]
     u = np.empty_like(w)
     u[1:] = w[:-1]
     u[np.cumsum(n) - n] = at[-1]
     h = pair_hash(seen[u], seen[w])
-    (both,) = _look(m.folder, "pairs", m.pair_shards, (h % _u(m.pair_shards)).astype(np.int64), h, ("<u8", "<u4"))
+    (both,) = _look(m.folder, "pairs", m.pair_files, (h % _u(m.pair_shards)).astype(np.int64), h, ("<u8", "<u4"))
     take = lambda x, d: np.where(x > 2, d[2], np.where(x == 2, d[1], np.where(x == 1, d[0], 0.0)))
     flat = 1.0 / (m.distinct + 1)
     low = (before - take(before, m.lower)) / m.lower_total + m.lower_gamma * flat if m.lower_total else np.full(len(seen), flat)
