@@ -23,11 +23,11 @@ from waymark.llm import rans
 from waymark.llm._shared import map_arrow, partitions, stored
 from waymark.llm.bpe import bpe
 
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 #: Bytes of text that are encoded at once: more of them share fragments.
 AT_ONCE = 1 << 22
 #: Fragments that a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> None:
