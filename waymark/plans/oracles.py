@@ -190,7 +190,7 @@ DENSE = """plan AS (
   SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq, j) - 1 AS seq, lat, lng, NULL::DOUBLE AS ele FROM both_d
 )"""
 
-FEATURES = "features AS (SELECT track_id, (seq // 6)::BIGINT AS seq, seq % 6 AS feature, floor(lat * 1e6 % 97)::BIGINT AS response, (floor(lat * 1e6)::BIGINT % 256) AS x, (floor(lng * -1e6)::BIGINT % 256) AS y FROM points WHERE seq < 60)"
+FEATURES = "features AS (SELECT track_id, (seq // 6)::BIGINT AS seq, seq % 6 AS feature, floor(lat * 1e6 % 97)::BIGINT AS response, (floor(lat * 1e6)::BIGINT % 256) AS x, (floor(lng * -1e6)::BIGINT % 256) AS y FROM points)"
 
 SETTINGS = """settings AS (
   SELECT percent::INTEGER AS percent, position, margin::INTEGER AS margin, greatest(1, 480 * percent // 100)::INTEGER AS size
@@ -246,11 +246,11 @@ def oracle_sql() -> dict[str, str]:
         "track_framing": w(*tracks, "b AS (SELECT track_id, max(lat) AS n, min(lat) AS s, max(lng) AS e, min(lng) AS w FROM points GROUP BY track_id)") + f"SELECT track_id, round((n + s) / 2, 8) AS center_lat, round((e + w) / 2, 8) AS center_lng, {fit('n', 's', 'e', 'w', 192)} AS zoom FROM b",
         "mercator_pixel": w(*tracks) + f"SELECT track_id, seq, round({x0('lng')}, 6) AS x, round({y0('lat')}, 6) AS y FROM points",
         "image_pixel": w(*tracks) + f"SELECT track_id, seq, round(2 * {x}, 3) AS x, round(2 * {y}, 3) AS y FROM points",
-        "fit_zoom": w(*tracks) + f"SELECT track_id, seq, {fit('(lat + seq / 7)', 'lat', '(lng + seq / 7 * 1.5::DOUBLE)', 'lng', 192)} AS zoom FROM points WHERE seq < 20",
+        "fit_zoom": w(*tracks) + f"SELECT track_id, seq, {fit('(lat + (seq % 20) / 7)', 'lat', '(lng + (seq % 20) / 7 * 1.5::DOUBLE)', 'lng', 192)} AS zoom FROM points",
         "clip_visible": w(*tracks, clipped(10)) + "SELECT track_id, seq, visible, kept FROM kept",
         "clip_runs": w(*tracks, clipped(10)) + "SELECT track_id, run::INTEGER AS run, n, round(first_lng, 6) AS first_lng FROM numbered",
         "longest_runs": w(*tracks, clipped(13)) + "SELECT track_id, run::INTEGER AS run, n FROM numbered QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY n DESC, run) <= 2",
-        "follow_view": w(*tracks, f"on_screen AS (SELECT f.track_id, f.seq AS frame, p.seq, {seen(fx, fy, 192)} AS s FROM points f JOIN points p USING (track_id) WHERE f.seq % 10 = 0)", "near AS (SELECT *, s OR coalesce(lag(s) OVER o, false) OR coalesce(lead(s) OVER o, false) AS k FROM on_screen WINDOW o AS (PARTITION BY track_id, frame ORDER BY seq))", "isl AS (SELECT *, seq - row_number() OVER (PARTITION BY track_id, frame ORDER BY seq) AS island FROM near WHERE k)") + "SELECT track_id, frame, count(DISTINCT island) AS runs, count(*) AS n FROM isl GROUP BY track_id, frame",
+        "follow_view": w(*tracks, f"on_screen AS (SELECT f.track_id, f.seq AS frame, p.seq, {seen(fx, fy, 192)} AS s FROM points f JOIN points p USING (track_id))", "near AS (SELECT *, s OR coalesce(lag(s) OVER o, false) OR coalesce(lead(s) OVER o, false) AS k FROM on_screen WINDOW o AS (PARTITION BY track_id, frame ORDER BY seq))", "isl AS (SELECT *, seq - row_number() OVER (PARTITION BY track_id, frame ORDER BY seq) AS island FROM near WHERE k)") + "SELECT track_id, frame, count(DISTINCT island) AS runs, count(*) AS n FROM isl GROUP BY track_id, frame",
         "downsample_even_index": w(*tracks, "n AS (SELECT track_id, max(seq) AS last FROM points GROUP BY track_id)", "chosen AS (SELECT track_id, i, CASE WHEN last < 10 THEN i ELSE round(i * (last / 9))::BIGINT END AS seq FROM n, range(10) r(i) WHERE i <= last)") + "SELECT track_id, i, round(lat, 6) AS lat, round(lng, 6) AS lng FROM chosen JOIN points USING (track_id, seq)",
         "polyline_deltas": w(*tracks, "e AS (SELECT track_id, seq, round(lat * 100000)::BIGINT AS a, round(lng * 100000)::BIGINT AS b FROM points)") + f"SELECT track_id, seq, a - lag(a, 1, 0) OVER ({W}) AS d_lat, b - lag(b, 1, 0) OVER ({W}) AS d_lng FROM e",
         "polyline_encode": w(*tracks, "e AS (SELECT track_id, seq, round(lat * 100000)::BIGINT AS a, round(lng * 100000)::BIGINT AS b FROM points)", f"d AS (SELECT track_id, seq, a - lag(a, 1, 0) OVER ({W}) AS d_lat, b - lag(b, 1, 0) OVER ({W}) AS d_lng FROM e)", f"c AS (SELECT track_id, seq, {ENCODE('d_lat')} || {ENCODE('d_lng')} AS s FROM d)") + "SELECT track_id, string_agg(s, '' ORDER BY seq) AS polyline FROM c GROUP BY track_id",
