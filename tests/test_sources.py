@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import images
-from waymark.operators import maps, render, view
+from waymark.operators import frames, maps, render, view
 from waymark.operators.render import Overlay
 from waymark.options import parse
 from waymark.plans import route
@@ -108,9 +109,10 @@ def test_plan_from_files_to_frames(spark, folder, tmp_path_factory):
     back, _ = route.dry_run(spark, options(f"{folder}/s.json", "--use-metadata"), r)
     assert back.select(summary.KEYS).collect() == found.select(summary.KEYS).collect()
     assert route.rendered(spark, o, found, r, str(out), str(cache / "c")).first()["frames"] == 5
-    names = sorted(p.name.split("-")[-1] for p in out.iterdir())
+    assert len(list(out.iterdir())) == 1
+    names = sorted(p.name for p in out.glob("*/*"))
     assert names == sorted([f"{i}.jpg" for i in range(5)] + [f"{i}.map.png" for i in range(5)])
-    picture = images.from_png(next(out.glob("*-3.map.png")).read_bytes())
+    picture = images.from_png(next(out.glob("*/3.map.png")).read_bytes())
     assert picture.shape[0] == 384 + 2 * images.pad(384) and tuple(picture[picture.shape[0] // 2, picture.shape[1] // 2]) == images.FILL
     with pytest.raises(RuntimeError, match="not enabled"):
         route.rendered(spark, o, found, Recorder(log, "staticmap"), str(out), None)
@@ -213,6 +215,93 @@ def test_optimizer(tmp_path):
     assert [(tmp_path / f"{i}.opt.jpg").read_text() for i in range(3)] == ["0", "2", "3"]
 
 
+ENCODER = """#!/bin/sh
+# stands in for the encoder: says frames, writes its arguments and the files it was shown
+for out; do :; done
+echo "frame=1"; echo "frame=  4"
+{ echo "$@"; ls | tr '\\n' ' '; } > "$out"
+"""
+
+
+def encoder(folder, body=ENCODER):
+    tool = folder / "encoder"
+    tool.write_text(body)
+    tool.chmod(0o755)
+    return str(tool)
+
+
+def test_video_of_one_track(spark, tmp_path):
+    own = tmp_path / "frames"
+    own.mkdir()
+    said = []
+    render.make_video(str(own), 8, "good", Overlay(1, 2, 3), str(tmp_path / "v.mp4"), tell=said.append, command=encoder(tmp_path))
+    assert said == ["12.5%", "50.0%", "4.2%", "16.6%"]
+    assert "%d.jpg" in (tmp_path / "v-original.mp4").read_text() and "overlay=1:2" in (tmp_path / "v.mp4").read_text()
+    render.make_video(str(own), 8, "skip", None, str(tmp_path / "w.mp4"), optimized=True, command=encoder(tmp_path))
+    assert "%d.opt.jpg" in (tmp_path / "w.mp4").read_text() and not (tmp_path / "w-original.mp4").exists()
+    with pytest.raises(RuntimeError):
+        render.make_video(str(own), 8, "skip", None, str(tmp_path / "x.mp4"), command=encoder(tmp_path, "#!/bin/sh\nexit 4\n"))
+
+
+def test_videos_of_all_tracks(spark, tmp_path):
+    rows = [(k, str(tmp_path / k), n) for k, n in (("a", 3), ("b", 2), ("none", 0))]
+    for _, f, _ in rows:
+        os.makedirs(f)
+    o = options("x", "--minterp", "fast", "--minimap", "follow", "-o", "film.mp4")
+    out = {r["track_id"]: r for r in route.filmed(o, spark.createDataFrame(rows, "track_id string, folder string, frames long"), command=encoder(tmp_path)).collect()}
+    assert set(out) == {"a", "b"} and out["a"]["video"] == f"{tmp_path}/a/film.mp4" and out["a"]["bytes"] > 0
+    assert "tblend" in (tmp_path / "b" / "film.mp4").read_text()
+
+
+@pytest.mark.parametrize("choice", ["path", "tool"])
+def test_plan_with_a_choice_of_frames(spark, folder, tmp_path, choice):
+    """The kept images are renamed, and maps drawn for these alone; the built-in path with costs that make it skip."""
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\n[ -d \"$1\" ] && echo '[0, 3, 4]'\n")
+    tool.chmod(0o755)
+    (tmp_path / "log").mkdir()
+    r = Recorder(tmp_path / "log")
+    more = ["--optimizer", "path", "--optimizer-arg", '{"velocity_factor": 0}'] if choice == "path" else ["--optimizer", str(tool)]
+    o = options(f"{folder}/b.gpx", "--frames-per-mile", "20", "--minimap", "follow", "--max-frames", "5", *more)
+    found, _ = route.dry_run(spark, o, r)
+    got = route.rendered(spark, o, found, r, str(tmp_path / "out"), decode=lambda body: None).collect()
+    kept = 2 if choice == "path" else 3
+    assert [x["frames"] for x in got] == [kept]
+    names = {p.name for p in (tmp_path / "out").glob("*/*")}
+    assert {f"{i}.opt.jpg" for i in range(kept)} <= names and {n for n in names if n.endswith("png")} == {f"{i}.map.png" for i in range(kept)}
+
+
+def test_parameters_of_the_choice(spark):
+    df = spark.createDataFrame([("a", 0, b"x"), ("a", 1, b"y"), ("b", 0, b"z")], "track_id string, seq long, body binary")
+    kept = route.chosen_frames(df, '{"n_features": 50, "ratio_test": 0.8}')
+    assert sorted(r["value"] for r in frames.kept_json(kept).collect()) == ["[0,0]", "[0,1]"]
+    with pytest.raises(ValueError, match="unknown"):
+        route.chosen_frames(df, '{"speed": 1}')
+
+
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    from waymark.__main__ import main
+
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "cache"))
+    (tmp_path / "log").mkdir()
+    r = Recorder(tmp_path / "log")
+    line = [f"{folder}/b.gpx", "--api-key", "K", "-f", "20", "--max-frames", "3", "--minterp", "skip", "--progress", "-o", str(tmp_path / "v.mp4"), "--output-dir", str(tmp_path / "out")]
+    assert main(line, r, encoder=encoder(tmp_path)) == 0
+    assert "%d.jpg" in (tmp_path / "v.mp4").read_text() and len(list((tmp_path / "out").glob("*/*.jpg"))) == 3
+    asked = len(r.asked())
+    assert main(line, r, encoder=encoder(tmp_path)) == 0 and len(r.asked()) == asked
+    assert main([*line, "--no-cache"], r, encoder=encoder(tmp_path)) == 0 and len(r.asked()) > asked
+    assert "Joining" in capsys.readouterr().out
+
+
+def test_default_cache(spark, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", "/x")
+    assert fetch.default_cache(spark) == "file:///x/waymark"
+    monkeypatch.delenv("XDG_CACHE_HOME")
+    monkeypatch.setenv("HOME", "/h")
+    assert fetch.default_cache(spark) == "file:///h/.cache/waymark"
+
+
 def test_overlay_geometry(spark):
     o = route.overlay(options("x", "--minimap", "follow"))
     assert (o.x, o.y, o.size) == (640 - 192 - 12 - 8, 480 - 192 - 12 - 8, 192 + 16) or o.size == 192 + 2 * (images.pad(384) // 2)

@@ -108,12 +108,12 @@ def plane_motion(p: np.ndarray, q: np.ndarray, tries: int = 300, within: float =
             return None
 
 
-def match_cost(first: np.ndarray, second: np.ndarray) -> float:
+def match_cost(first: np.ndarray, second: np.ndarray, count: int = CORNERS, ratio: float = RATIO) -> float:
     """Cost of showing second behind first: how far its center moves or how badly the points fit, the smaller; half the diagonal if that can't be told."""
     h, w = first.shape[:2]
     half = 0.5 * float(np.hypot(w, h))
-    (p1, d1), (p2, d2) = features(first), features(second)
-    pairs = matches(d1, d2)
+    (p1, d1), (p2, d2) = features(first, count), features(second, count)
+    pairs = matches(d1, d2, ratio)
     a, b = p1[pairs[:, 0]], p2[pairs[:, 1]]
     m = plane_motion(b, a)
     if m is None:

@@ -82,6 +82,11 @@ def chosen(frames: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFrame
     return best_paths(edges, cost).unionByName(single.select("track_id", F.expr("array(0L, 0L)").alias("kept"), F.lit(0.0).alias("total")))
 
 
+def kept_json(kept: DataFrame) -> DataFrame:
+    """track_id, value: the kept frames as a JSON array of their numbers."""
+    return kept.select("track_id", F.to_json("kept").alias("value"))
+
+
 def frame_number(path: Column) -> Column:
     """The number made of all digits of a file's path, by which frames are ordered."""
     return F.regexp_replace(path, "[^0-9]", "").cast("decimal(38,0)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import shutil
 import subprocess
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -87,6 +90,34 @@ def run_encoder(folder: str, arguments: list[str], percent: Callable[[int], floa
         raise RuntimeError(f"the encoder ended with {run.returncode}")
 
 
+VIDEO_SCHEMA = "track_id string, video string, bytes long"
+
+
+def make_video(folder: str, count: int, mode: str, overlay: Overlay | None, out: str, optimized: bool = False, tell: Callable[[str], None] = lambda _: None, command: str = "ffmpeg") -> str:
+    """Joins the count images of a folder to a video at out, in a second pass with motion and maps; without either it is only moved there."""
+    first = out.removesuffix(".mp4") + "-original.mp4"
+    run_encoder(folder, join_arguments(optimized, first), lambda frame: 100.0 * frame / count, tell, command)
+    again = finish_arguments(mode, overlay, first, out)
+    if again is None:
+        os.replace(os.path.join(folder, first), os.path.join(folder, out))
+    else:
+        run_encoder(folder, again, lambda frame: PROGRESS[mode] * frame / count, tell, command)
+    return out
+
+
+def videos(tracks: DataFrame, mode: str, overlay: Overlay | None, out: str, optimized: bool = False, command: str = "ffmpeg") -> DataFrame:
+    """track_id, video, bytes: make_video() for each row (track_id, folder, frames) with frames, tracks side by side."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [os.path.join(f, make_video(f, n, mode, overlay, out, optimized, command=command)) for f, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), pa.array([os.path.getsize(x) for x in made], pa.int64())], names=["track_id", "video", "bytes"])
+
+    ship(tracks.sparkSession)
+    kind = tracks.schema["track_id"].dataType.simpleString()
+    return tracks.filter("frames > 0").select("track_id", "folder", "frames").repartition("track_id").mapInArrow(run, f"track_id {kind}, video string, bytes long")
+
+
 @lru_cache(maxsize=4)
 def _decoded(data: bytes):
     return images.from_png(data)
@@ -129,19 +160,48 @@ def overlay_frames(frames: DataFrame, maps: DataFrame, mode: str, framing: DataF
     return df.mapInArrow(run, f"track_id {kind}, seq long, name string, body binary")
 
 
+def renamed(folder: str, kept: list[int]) -> None:
+    """Renames the kept images of a folder to {n}.opt.jpg in their order; one that is kept twice is copied, one that a repeated task finds renamed is left."""
+    for to, own in enumerate(kept):
+        source, target = os.path.join(folder, f"{own}.jpg"), os.path.join(folder, f"{to}.opt.jpg")
+        if os.path.exists(target) and not os.path.exists(source):
+            continue
+        (shutil.copyfile if own in kept[to + 1 :] else os.replace)(source, target)
+
+
 def optimizer(command: str, folder: str, argument: str | None = None) -> list[int]:
     """Runs an external chooser of frames and renames what it keeps to {n}.opt.jpg; no frames if it fails.
 
     It gets the folder and an optional argument, and prints a JSON array of the
     numbers of the frames to keep.
     """
-    import json
-    import os
-
     done = subprocess.run([command, folder, *([argument] if argument is not None else [])], capture_output=True, text=True)
     if done.returncode:
         return []
     kept = json.loads(done.stdout)
-    for to, own in enumerate(kept):
-        os.rename(os.path.join(folder, f"{own}.jpg"), os.path.join(folder, f"{to}.opt.jpg"))
+    renamed(folder, kept)
     return kept
+
+
+def optimized(tracks: DataFrame, command: str, argument: str | None = None) -> DataFrame:
+    """track_id, kept: optimizer() for each row (track_id, folder), tracks side by side."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [optimizer(command, f, argument) for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64()))], names=["track_id", "kept"])
+
+    ship(tracks.sparkSession)
+    kind = tracks.schema["track_id"].dataType.simpleString()
+    return tracks.select("track_id", "folder").repartition("track_id").mapInArrow(run, f"track_id {kind}, kept array<long>")
+
+
+def rename_kept(tracks: DataFrame) -> None:
+    """renamed() for each row (folder, kept)."""
+
+    def run(rows) -> None:
+        for row in rows:
+            renamed(row["folder"], row["kept"])
+
+    ship(tracks.sparkSession)
+    tracks.select("folder", "kept").foreachPartition(run)

@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input_path", help="GPX files, or summaries with --use-metadata")
     p.add_argument("--api-key", default=os.environ.get("GOOGLE_API_KEY"), help="key of the imagery and map services; else from GOOGLE_API_KEY")
     p.add_argument("--output-dir", help="folder of the single frames")
-    p.add_argument("-o", "--output", help="name of the video")
+    p.add_argument("-o", "--output", help="name of the video; with several tracks their videos lie in their folders")
     p.add_argument("--network-concurrency", type=_natural, default=40, help="requests at once in each task")
     p.add_argument("-f", "--frames-per-mile", type=float, default=100.0)
     p.add_argument("--max-frames", type=_natural, help="frames at most; 0 keeps none")
@@ -67,8 +67,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--minterp", default="good", help="motion: skip, fast, good")
     p.add_argument("--json", action="store_true")
     p.add_argument("--progress", action="store_true")
-    p.add_argument("--optimizer", help="executable that chooses frames")
-    p.add_argument("--optimizer-arg")
+    p.add_argument("--optimizer", help="executable that chooses frames, or: path, for the cheapest path through them")
+    p.add_argument("--optimizer-arg", help="handed to the executable; for path a JSON object of ratio_test, n_features, velocity_factor")
     p.add_argument("--minimap", choices=["off", "overview", "follow"], default="off")
     p.add_argument("--minimap-position", choices=["tl", "tr", "bl", "br"], default="br")
     p.add_argument("--minimap-size", type=_between(1, 100), default=40, help="percent of the video's shorter side")

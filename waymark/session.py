@@ -53,6 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def local_path(path: str) -> str:
+    """A path as the operating system knows it; ValueError for one that only Spark reads."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"files are written one by one to a mounted folder, not to {path}")
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, below one for this application."""
     return f"{shared_dir(spark)}/waymark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -65,6 +65,20 @@ def fetch(df: DataFrame, fetcher: Fetcher, url: str = "url", concurrency: int =
     return out.withColumn("message", redact_key(F.col("message")))
 
 
+def default_cache(spark: SparkSession) -> str | None:
+    """The cache below the system's folder for such; on a cluster below spark.checkpoint.dir, as all machines write to it; none if there is neither."""
+    import os
+    import sys
+
+    if not spark.sparkContext.master.startswith("local"):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        return f"{shared.rstrip('/')}/waymark-cache" if shared else None
+    home = os.path.expanduser("~")
+    by_system = {"darwin": os.path.join(home, "Library", "Caches"), "win32": os.environ.get("LOCALAPPDATA")}
+    top = by_system.get(sys.platform, os.environ.get("XDG_CACHE_HOME") or os.path.join(home, ".cache"))
+    return f"file://{top}/waymark" if top and os.path.isabs(top) else None
+
+
 def cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
     """The cache's table; none if it is switched off or not there yet."""
     if not cache:
@@ -122,14 +136,17 @@ def parsed_lookups(answers: DataFrame) -> DataFrame:
 
 
 def save_files(answers: DataFrame, name: str, folder: str) -> None:
-    """Writes each body to folder/name (a column); the folder must be one that the executors share."""
+    """Writes each body to folder/name (a column, with folders of its own); the folder must be one that the executors share."""
 
     def put(rows) -> None:
         import os
 
-        os.makedirs(folder, exist_ok=True)
+        made = set()
         for row in rows:
-            path = os.path.join(folder, row[name])
+            path = os.path.join(folder, row[name].lstrip("/"))
+            if (own := os.path.dirname(path)) not in made:
+                os.makedirs(own, exist_ok=True)
+                made.add(own)
             with open(f"{path}.part", "wb") as f:
                 f.write(row["body"])
             os.replace(f"{path}.part", path)
