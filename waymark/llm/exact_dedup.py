@@ -80,7 +80,12 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that exact_groups() keeps, with all their columns; of rows that repeat doc_id and text any one."""
+    """The rows of df that exact_groups() keeps, with all their columns; of rows that repeat doc_id and text any one.
+
+    Null texts count as empty ones, and one of all empty texts stays; a null
+    doc_id is smaller than any; texts of any length are compared whole; an
+    empty table gives an empty one.  Columns that begin with two underscores are the operator's own.
+    """
     groups = exact_groups(df, doc_id, text)
     gone = groups.filter("doc_id is distinct from keep_id").select(_order("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
     own = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)

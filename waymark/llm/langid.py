@@ -132,7 +132,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_rows_per_lang
 
     The n-grams of about max_rows_per_language different texts of each language
     are counted, once each (chosen by a hash of the text; all, if there are no more); what reaches the driver is bounded by
-    languages x n-gram buckets.  More than 400 languages are an error.
+    languages x n-gram buckets.  More than 400 languages are an error.  Rows of
+    null text or language teach nothing, nor do empty texts; a very long text is read whole;
+    other columns are not read; an empty table gives a model without languages.
     """
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     place = F.xxhash64("text", F.lit(10))

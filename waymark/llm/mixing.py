@@ -210,6 +210,10 @@ def _mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
 
 def apply_mixture(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of df as often as mixture() takes it."""
+    """The mix itself: each row of df as often as mixture() takes it, with df's own columns, whatever their names.
+
+    Null and empty texts have no words and are never taken; a very long text is
+    taken where it fits; rows that repeat doc_id and text share their fate; an empty table gives an empty one.
+    """
     out = _mixed(df, **options).filter("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*quoted(df.columns))

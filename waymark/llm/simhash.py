@@ -51,7 +51,12 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 4, column: str = "fp") -> DataFrame:
-    """df with the fingerprint of each text as a long (its bits as they are)."""
+    """df with the fingerprint of each text as a long (its bits as they are).
+
+    Null, empty and wordless texts have zero; texts of any length are read
+    whole; repeated rows stay; an empty table gives an empty one.  A column of
+    df named like the new one is replaced.
+    """
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,11 @@ def _linked(batches: Iterable[pa.RecordBatch], errors: int) -> Iterator[pa.Recor
 
 
 def links(fps: DataFrame, errors: int = 4) -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints (column fp: long) within the error budget as all links would."""
+    """Links (a, b) that connect distinct fingerprints (column fp: long) within the error budget as all links would.
+
+    fps must hold each fingerprint once and no nulls (near_groups() sees to
+    that); other columns are not read; no fingerprints give no links.
+    """
     parts = errors + 1
     paths = [([], list(range(63, -1, -1)))]  # of each path: the bits that are equal, and those that are left
     rows = fps.select("fp", F.lit(0).alias("path"))
