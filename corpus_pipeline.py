@@ -26,22 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the document with the largest doc_id."""
+    """Keeps of equal texts the document with the largest doc_id; null texts are empty ones. No documents in, none out, here and in all stages."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of texts linked by a similarity of 0.8 or more (shingles of five words) the document with the smallest doc_id."""
+    """Keeps of each group of texts linked by a similarity of 0.8 or more (shingles of five words) the document with the smallest doc_id.
+
+    Null and wordless texts and rows of null doc_id stay; repeated rows share their fate.
+    """
     return similar.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents so that sources have their target words; some go, some come more than once."""
+    """Takes documents so that sources have their target words; some go, some come more than once, those without words go."""
     return mixing.apply_mixture(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, and the digest of the text they decode to."""
+    """Token ids of each document of the mix, and the digest of the text they decode to; a null text is an empty one, a very long one is encoded whole."""
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), byte_bpe(), decoded="decoded")
     return out.select("doc_id", "lang", "source", bpe.n_ids().alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
