@@ -76,10 +76,14 @@ def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     parts = -(-n // 255)  # counts of 255 fit into a byte, eight of them into a number
     begin = np.cumsum(parts) - parts
     cut = np.repeat(first - 255 * begin, parts) + 255 * np.arange(parts.sum())
+    edge = np.append(cut, len(h))
+    ones = np.empty((len(cut), 64), np.uint8)
     for k in range(WORDS):
-        bits = np.unpackbits(ngram_lm._mix(h ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-        ones = np.add.reduceat(np.add.reduceat(bits, cut, axis=0).view(np.uint8).astype(np.int32), begin, axis=0)
-        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * ones > n[:, None], axis=1)
+        for a in range(0, len(cut), 4096):  # about a million shingles at once
+            b = min(a + 4096, len(cut))
+            bits = np.unpackbits(ngram_lm._mix(h[edge[a] : edge[b]] ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+            ones[a:b] = np.add.reduceat(bits, cut[a:b] - edge[a], axis=0).view(np.uint8)
+        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * np.add.reduceat(ones.astype(np.int32), begin, axis=0) > n[:, None], axis=1)
     return out
 
 
