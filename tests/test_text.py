@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from waymark.functions import text
+from waymark.operators import maps
 
 
 def apply(spark, f, values, kind="string"):
@@ -92,3 +96,16 @@ def test_failure_message(spark):
     df = spark.createDataFrame([(403, "x?key=S"), (500, "y"), (None, "z")], "status int, message string")
     a, b, c = [r[0] for r in df.select(text.failure_message(F.col("status"), F.col("message"))).collect()]
     assert "not enabled" in a and "S" not in a.split("key=")[1][:1] and "not enabled" not in b + c and all(text.ENABLE_URL in m for m in (a, b, c))
+
+
+def test_both_forms_of_lines_agree(spark):
+    """The columns' polylines and thinning, and those that the loop over a URL uses."""
+    rng = np.random.default_rng(3)
+    lines = [rng.uniform(-80, 80, (n, 2)) for n in (2, 3, 10, 57, 200)]
+    points = [[(float(a), float(b)) for a, b in x] for x in lines]
+    kind = "array<struct<lat: double, lng: double>>"
+    whole = apply(spark, text.polyline, points, kind)
+    assert [unquote(maps.encode(x[:, 0], x[:, 1])) for x in lines] == whole
+    thin = apply(spark, lambda c: text.polyline(text.downsample(c, 9)), points, kind)
+    drawn = [unquote(maps.Line([x], "s").drawn(9, 1)).split("enc:")[1] for x in lines]
+    assert drawn == thin
