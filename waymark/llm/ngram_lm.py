@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm._shared import map_arrow, named, new_path, partitions, stored
+from waymark.session import local_path
 
 #: Bytes of text that are hashed at once, and pairs that are held before they are sent off.
 AT_ONCE, HELD = 1 << 21, 1 << 21
@@ -181,15 +182,6 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), w, c.astype(np.int64)
 
 
-def local(path: str) -> str:
-    """The shared folder as the workers' operating system knows it, for memory-mapping."""
-    if path.startswith("file:"):
-        return path[5:].replace("///", "/", 1) if path.startswith("file:///") else path[5:]
-    if "://" in path:
-        raise ValueError(f"memory-mapped models need a mounted shared folder, not {path}")
-    return path
-
-
 def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Writes arrays one after the other; a repeated task puts the same file in the place of the first."""
     os.makedirs(folder, exist_ok=True)
@@ -235,8 +227,7 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     """
     spark = df.sparkSession
     s = shards or partitions(df)
-    path = new_path(spark, "ngrams")
-    folder = local(path)
+    folder = local_path(new_path(spark, "ngrams"))  # for memory-mapping
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
