@@ -95,6 +95,31 @@ def test_packed_pieces():
     assert all((a == b).all() for a, b in zip(got, (u, w, c), strict=True))
 
 
+def test_pieces_write_frequent_words_in_two_bytes():
+    rng = np.random.default_rng(4)
+    frequent = np.unique(rng.integers(3, 1 << 63, 1000, np.uint64))
+    u, w = (np.where(rng.random(5000) < 0.75, rng.choice(frequent, 5000), rng.integers(3, 1 << 63, 5000, np.uint64)) for _ in "uw")
+    u, w, c = ngram_lm._counted(u, w, rng.integers(1, 4, 5000))
+    packed = ngram_lm._pack(u, w, c, frequent)
+    assert len(packed) < 0.7 * len(ngram_lm._pack(u, w, c)) and len(packed) < 8 * len(u)
+    for words in (frequent, frequent[:1], ngram_lm.NONE):
+        got = ngram_lm._counted(*ngram_lm._unpack(ngram_lm._pack(u, w, c, words), words))
+        assert all((a == b).all() for a, b in zip(got, (u, w, c), strict=True))
+        assert [len(x) for x in ngram_lm._unpack(ngram_lm._pack(u[:0], w[:0], c[:0], words), words)] == [0, 0, 0]
+
+
+def test_frequent_words_change_no_score(docs, empty, monkeypatch):
+    of = lambda: sorted((str(r["doc_id"]), r["text"] or "", r["n_known"], r["base_score"], r["score"]) for r in ngram_lm.score(docs, ngram_lm.fit(docs, shards=3)).collect())
+    want = of()
+    known = ngram_lm._frequent(docs, "text")
+    assert (np.diff(known) > 0).all() and ngram_lm.START in known and ngram_lm.END in known and len(known) > 10
+    assert len(ngram_lm._frequent(empty, "text")) == 0
+    monkeypatch.setattr(ngram_lm, "_frequent", lambda df, text: known[::3])
+    some = of()
+    monkeypatch.setattr(ngram_lm, "_frequent", lambda df, text: ngram_lm.NONE)
+    assert want == some == of()
+
+
 def test_languages(docs, rows, empty):
     model = langid.fit(docs.filter("doc_id % 3 <> 1"))
     assert model.languages == ["en", "fr", "ru"]

@@ -2,7 +2,8 @@
 
 Counting: tasks turn texts into word hashes, count the pairs of neighbours they
 have seen, and send them off in sorted, packed pieces, one for each shard of the
-pair's hash, so that no word, however common, meets in one task.  A shard's
+pair's hash, so that no word, however common, meets in one task.  Frequent words
+are two bytes in them, all others 63 bits of hash.  A shard's
 task merges its pieces and writes two sorted arrays, hashes of pairs and their
 counts, to a file in the shared folder.  What words need beside it (how often
 they occur, how many different words follow and precede them) is summed by
@@ -42,6 +43,9 @@ _BASE = int(_rng.integers(0, 1 << 62)) * 2 + 1
 #: Words are known by 63 bits (two of n different words share them with probability n ** 2 / 2 ** 64: 0.0005 at 100 million); these stand for the start and the end of a text.
 BITS = 63
 START, END = _u(1), _u(2)
+#: What stands for a word that is not among the frequent ones of a packed piece, of which there are at most as many; tasks whose first texts name them.
+RARE, DICTIONARY = 0xFFFF, 16
+NONE = np.empty(0, np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -166,20 +170,83 @@ def _counted(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, n
     return u[first], w[first], np.add.reduceat(c, first) if len(first) else c[:0]
 
 
-def _pack(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Pairs in order of u: steps of u and counts shrink well; w is without any order."""
-    step = np.diff(u, prepend=_u(0))
-    planes = np.concatenate([step.astype("<u8").view(np.uint8).reshape(-1, 8).T.reshape(-1), c.astype("<u4").view(np.uint8).reshape(-1, 4).T.reshape(-1)])
-    return len(u).to_bytes(8, "little") + w.astype("<u8").tobytes() + zlib.compress(planes.tobytes(), 1)
+def _codes(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Places of words among the frequent ones, RARE for all others."""
+    if not len(frequent):
+        return np.full(len(words), RARE, "<u2")
+    at = np.searchsorted(frequent, words)
+    at[at == len(frequent)] = 0
+    return np.where(frequent[at] == words, at, RARE).astype("<u2")
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    w = np.frombuffer(data, "<u8", n, 8)
-    planes = np.frombuffer(zlib.decompress(data[8 + 8 * n :]), np.uint8)
-    step = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
-    c = np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
-    return np.cumsum(step, dtype=np.uint64), w, c.astype(np.int64)
+def _planes(*arrays: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+
+
+def _pack(u: np.ndarray, w: np.ndarray, c: np.ndarray, frequent: np.ndarray = NONE) -> bytes:
+    """Pairs in order of u and w: those whose u is frequent, then the others.
+
+    Frequent words are two bytes; steps of u and counts shrink well; a rare w is without any order.
+    """
+    cu = _codes(u, frequent)
+    order = np.argsort(cu == RARE, kind="stable")  # codes go by hash, so they ascend
+    cu, u, w, c = cu[order], u[order], w[order], c[order]
+    cw = _codes(w, frequent)
+    rare_u, rare_w = u[cu == RARE], w[cw == RARE]
+    planes = _planes(np.diff(cu, prepend=cu.dtype.type(0)), cw, c.astype("<u4"), np.diff(rare_u, prepend=_u(0)).astype("<u8"))
+    return np.array([len(u), len(rare_w)], "<u8").tobytes() + rare_w.astype("<u8").tobytes() + zlib.compress(planes, 1)
+
+
+def _unpack(data: bytes, frequent: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(data, "<u8", 2).tolist()
+    planes = np.frombuffer(zlib.decompress(memoryview(data)[16 + 8 * m :]), np.uint8)
+    at = 0
+
+    def plane(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        at += size * n
+        return np.ascontiguousarray(planes[at - size * n : at].reshape(size, n).T).view(kind).reshape(-1)
+
+    def known(codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = np.empty(n, np.uint64)
+        out[codes != RARE] = frequent[codes[codes != RARE]]
+        out[codes == RARE] = rare
+        return out
+
+    cu = np.cumsum(plane("<u2", n), dtype=np.uint16)
+    cw, c = plane("<u2", n), plane("<u4", n).astype(np.int64)
+    u = known(cu, np.cumsum(plane("<u8", int((cu == RARE).sum())), dtype=np.uint64))
+    return u, known(cw, np.frombuffer(data, "<u8", m, 16)), c
+
+
+def _frequent(df: DataFrame, text: str) -> np.ndarray:
+    """Words, ascending, that pieces write as two bytes: the most frequent ones of the first texts of up to DICTIONARY tasks.
+
+    No count is made from them: with other words, or none, pieces are longer and
+    hold the same pairs.  What comes to the driver is bounded by the number of tasks.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, left = [], AT_ONCE
+        for batch in batches:
+            for texts in _chunks(batch.column(0)):
+                if left > 0:
+                    seen.append(hashed(texts)[0])
+                    left -= sum(map(len, texts)) + len(texts)
+        if seen:
+            key, n = np.unique(np.concatenate(seen), return_counts=True)
+            top = np.argsort(-n, kind="stable")[: min(RARE, int((n > 1).sum()))]
+            yield pa.RecordBatch.from_arrays([pa.array([key[top].astype("<u8").tobytes()], pa.binary()), pa.array([n[top].astype("<u4").tobytes()], pa.binary())], names=["words", "n"])
+
+    at = F.col("__at")
+    first = df.select(text, F.monotonically_increasing_id().alias("__at")).filter((F.shiftright(at, 33) < DICTIONARY) & (at.bitwiseAND((1 << 33) - 1) < 512))
+    rows = map_arrow(first.select(text), run, "words binary, n binary").collect()
+    if not rows:
+        return NONE
+    key, n = _summed(*(np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in (("words", "<u8"), ("n", "<u4"))))
+    # START begins each text, but is no word of it
+    return np.sort(np.append(key[np.argsort(-n.astype(np.int64), kind="stable")[: RARE - 1]], START))
 
 
 def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
@@ -228,20 +295,24 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     spark = df.sparkSession
     s = shards or partitions(df)
     folder = local_path(new_path(spark, "ngrams"))  # for memory-mapping
+    frequent = _frequent(df, text)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            u, w, c = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            u, w, c = _counted(*parts)
+            parts.clear()
             shard = (pair_hash(u, w) % _u(s)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(s + 1))
             for k in range(s):
                 at = order[ends[k] : ends[k + 1]]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(u[at], w[at], c[at])], pa.binary())], names=["shard", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(u[at], w[at], c[at], frequent)], pa.binary())], names=["shard", "piece"])
 
         for batch in batches:
             for texts in _chunks(batch.column(0)):
@@ -250,13 +321,13 @@ def fit(df: DataFrame, text: str = "text", shards: int | None = None) -> Model:
                 size += len(held[-1][0])
                 if size >= HELD:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(shard: int, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-            parts = [_unpack(p) for p in pieces]
+            parts = [_unpack(p, frequent) for p in pieces]
             pieces.clear()
             u, w, c = _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             parts.clear()
